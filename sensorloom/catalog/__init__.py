@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("prepare",)
+AREAS = ("prepare", "detection")
 
 
 def _load() -> None:
