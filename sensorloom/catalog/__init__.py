@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("prepare", "detection")
+AREAS = ("prepare", "detection", "forecasting", "statistics")
 
 
 def _load() -> None:

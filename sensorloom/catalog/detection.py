@@ -115,7 +115,7 @@ edge AS (SELECT c.event_type, c.idx, c.h, c.pmin,
   coalesce((SELECT min(e.idx) FROM ev e WHERE e.event_type = c.event_type AND e.idx > c.idx AND e.value > c.h), 9223372036854775807) AS hi FROM cand c),
 prom AS (SELECT c.event_type, c.idx, c.h, c.pmin, c.h - greatest(
   min(e.value) FILTER (WHERE e.idx <= c.idx), min(e.value) FILTER (WHERE e.idx >= c.idx)) AS prominence
-  FROM edge c JOIN ev e ON e.event_type = c.event_type AND e.idx > c.lo AND e.idx < c.hi GROUP BY ALL)"""
+  FROM edge c JOIN ev e ON e.event_type = c.event_type AND e.idx > c.lo AND e.idx < c.hi GROUP BY c.event_type, c.idx, c.h, c.pmin)"""
 
 
 @query("peaks", f"""

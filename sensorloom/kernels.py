@@ -16,7 +16,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from sensorloom.session import settle
@@ -388,23 +387,55 @@ def average_ranks(df: DataFrame, by: str | Sequence[str] | None, value: str, out
 # --------------------------------------------------------------------------- K5
 
 
-def gram(df: DataFrame, columns: Sequence[str], by: str | Sequence[str] | None = None) -> DataFrame:
-    """``Xᵀ X`` of ``columns`` as one aggregate: ``(by…, n, g array<double>)`` row-major upper triangle."""
-    by = names(by)
-    products = [
-        F.sum(F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]
-    ]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*products).alias("g"))
+def gram_cells(df: DataFrame, row: str, by: str | Sequence[str] | None = None) -> DataFrame:
+    """Cells ``(by…, i, j, v)`` of ``Xᵀ X`` of the array column ``row``, per group.
 
+    Each task adds up its own rows; only k² partial sums per task and group are
+    shuffled.
+    """
+    import numpy as np
+    import pandas as pd
 
-def gram_matrix(flat: Sequence[float], k: int):
-    """Rebuild the symmetric matrix from :func:`gram` (k × k numbers, driver side)."""
+    by = names(by)
+    types = dict(df.dtypes)
+
+    def partial(batches):
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups = batch.groupby(by, dropna=False) if by else [((), batch)]
+            for key, part in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                x = np.stack(part[row].to_numpy())
+                totals[key] = totals[key] + x.T @ x if key in totals else x.T @ x
+        for key, total in totals.items():
+            yield pd.DataFrame({**dict(zip(by, key)), "i": range(len(total)), "v": total.tolist()})
+
+    fields = "".join(f"{c} {types[c]}, " for c in by)
+    parts = df.select(*by, row).mapInPandas(partial, f"{fields}i int, v array<double>")
+    return parts.select(*by, "i", F.posexplode("v").alias("j", "v")).groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
+
+
+def cells_to_matrix(cells):
+    """A pandas frame of ``i, j, v`` as a square numpy matrix."""
     import numpy as np
 
-    out = np.zeros((k, k))
-    out[np.triu_indices(k)] = flat
-    return out + np.triu(out, 1).T
+    size = int(cells["i"].max()) + 1 if len(cells) else 0
+    out = np.zeros((size, size))
+    out[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["v"].to_numpy()
+    return out
 
 
-def double_array() -> T.ArrayType:
-    return T.ArrayType(T.DoubleType())
+def gram(df: DataFrame, row: str):
+    """``Xᵀ X`` of one group as a k × k numpy matrix on the driver."""
+    return cells_to_matrix(gram_cells(df, row).toPandas())
+
+
+def solve_ridge(g, inputs: Sequence[int], targets: Sequence[int], penalty=0.0):
+    """Coefficients (inputs × targets) and residual sums of products from a Gram matrix."""
+    import numpy as np
+
+    a, b = g[np.ix_(inputs, inputs)], g[np.ix_(inputs, targets)]
+    ridge = np.diag(np.broadcast_to(np.asarray(penalty, dtype="float64"), (len(inputs),)))
+    beta = np.linalg.lstsq(a + ridge, b, rcond=None)[0]
+    sse = g[np.ix_(targets, targets)] - b.T @ beta - beta.T @ b + beta.T @ a @ beta
+    return beta, sse

@@ -16,6 +16,7 @@ from sensorloom.kernels import (
 )
 from sensorloom.nearest import nearest_higher
 from sensorloom.operators.windows import rolling_exprs
+from sensorloom.session import settle
 
 # Fixed (h, k) combinations tried by the CUSUM calibration, in order of preference.
 CUSUM_COMBINATIONS = (
@@ -88,7 +89,7 @@ def peaks_above(df: DataFrame, series, value: str, limits: DataFrame, chunk_rows
     """Peaks at least as high and prominent as the given limits: ``(series…, idx, height, prominence)``."""
     by = names(series)
     tops = attach_stats(local_maxima(df, by, value, chunk_rows), limits, by)
-    tops = tops.where(F.col("height") >= F.col("height_threshold"))
+    tops = settle(tops.where(F.col("height") >= F.col("height_threshold")))
     asked = attach(df.where(F.col(value).isNotNull()).select(*by, IDX, value), tops.select(*by, IDX, F.lit(True).alias("_top")), [*by, IDX], "left")
     asked = asked.withColumn("_top", F.col("_top").isNotNull())
     sides = []
