@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("prepare", "detection", "forecasting", "statistics")
+AREAS = ("prepare", "detection", "forecasting", "statistics", "graphs")
 
 
 def _load() -> None:
