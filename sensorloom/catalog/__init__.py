@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("prepare", "detection", "forecasting", "statistics", "graphs")
+AREAS = ("prepare", "detection", "forecasting", "statistics", "graphs", "deployment")
 
 
 def _load() -> None:

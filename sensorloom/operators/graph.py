@@ -89,12 +89,13 @@ def triangles(edges: DataFrame, keys) -> DataFrame:
         *by, "a", "b", "c", F.col("w").alias("w_ab"), F.try_element_at("_oa", F.col("c")).alias("w_ac"), F.try_element_at("_ob", F.col("c")).alias("w_bc"))
 
 
-def triangles_at(edges: DataFrame, keys) -> DataFrame:
+def triangles_at(edges: DataFrame, keys, found: DataFrame | None = None) -> DataFrame:
     """Triangles and the total weight of opposite edges at each node."""
+    found = triangles(edges, keys) if found is None else found
     ends = F.explode(F.array(
         F.struct(F.col("a").alias("node"), F.col("w_bc").alias("w")), F.struct(F.col("b").alias("node"), F.col("w_ac").alias("w")),
         F.struct(F.col("c").alias("node"), F.col("w_ab").alias("w"))))
-    long = triangles(edges, keys).select(*names(keys), ends.alias("e")).select(*names(keys), "e.*")
+    long = found.select(*names(keys), ends.alias("e")).select(*names(keys), "e.*")
     return long.groupBy(*names(keys), "node").agg(F.count(F.lit(1)).alias("triangles"), F.sum("w").alias("opposite_weight"))
 
 
@@ -107,12 +108,12 @@ def clustering(edges: DataFrame, keys) -> DataFrame:
     return rows.select(*by, "node", value.alias("local_clustering_coefficient"))
 
 
-def egonets(edges: DataFrame, keys) -> DataFrame:
+def egonets(edges: DataFrame, keys, found: DataFrame | None = None) -> DataFrame:
     """Egonet of each node: members, edges and total weight (all weights 1 without a weight column)."""
     by = names(keys)
     weighted = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
     incident = both_ways(weighted, by).groupBy(*by, "node").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("_w"))
-    rows = attach(incident, triangles_at(weighted, by), [*by, "node"], "left")
+    rows = attach(incident, triangles_at(weighted, by, found), [*by, "node"], "left")
     extra = F.coalesce("triangles", F.lit(0))
     return rows.select(
         *by, "node", "degree", (F.col("degree") + 1).alias("egonet_nodes"), (F.col("degree") + extra).alias("egonet_edges"),
@@ -157,7 +158,7 @@ def _largest_eigenvalue(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray)
     members, at = np.unique(np.r_[rows, cols], return_inverse=True)
     n, m = len(members), len(rows)
     i, j = at[:m], at[m:]
-    if n <= 100:
+    if n <= 500:
         a = np.zeros((n, n))
         a[i, j] = weights
         a[j, i] = weights
@@ -174,35 +175,35 @@ def _largest_eigenvalue(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray)
     return float(size - shift)
 
 
-def ego_edges(edges: DataFrame, keys) -> DataFrame:
+def ego_edges(edges: DataFrame, keys, found: DataFrame | None = None) -> DataFrame:
     """Edges of every egonet: ``(keys…, ego, u, v, weight)``."""
     by = names(keys)
+    found = triangles(edges, by) if found is None else found
     star = both_ways(edges, by).select(*by, F.col("node").alias("ego"), F.col("node").alias("u"), F.col("other").alias("v"), "weight")
     rims = F.explode(F.array(
         F.struct(F.col("a").alias("ego"), F.col("b").alias("u"), F.col("c").alias("v"), F.col("w_bc").alias("weight")),
         F.struct(F.col("b").alias("ego"), F.col("a").alias("u"), F.col("c").alias("v"), F.col("w_ac").alias("weight")),
         F.struct(F.col("c").alias("ego"), F.col("a").alias("u"), F.col("b").alias("v"), F.col("w_ab").alias("weight"))))
-    return star.unionByName(triangles(edges, by).select(*by, rims.alias("e")).select(*by, "e.*"))
+    return star.unionByName(found.select(*by, rims.alias("e")).select(*by, "e.*"))
 
 
-def ego_eigenvalues(edges: DataFrame, keys, max_edges: int = 50_000, tolerance: float = 1e-10) -> DataFrame:
+def ego_eigenvalues(edges: DataFrame, keys, max_edges: int = 50_000, tolerance: float = 1e-10, found: DataFrame | None = None) -> DataFrame:
     """Largest eigenvalue of each weighted egonet: ``(keys…, node, lambda)``.
 
     Egonets up to ``max_edges`` are solved one per group; larger hubs by power
     iteration spread over (hub, member) rows.
     """
     by = names(keys)
-    listed = settle(ego_edges(edges, by))
+    listed = settle(ego_edges(edges, by, found))
     sizes = settle(listed.groupBy(*by, "ego").agg(F.count(F.lit(1)).alias("_n")))
-    schema = T.StructType([*[edges.schema[k] for k in by], T.StructField("node", T.LongType()), T.StructField("lambda", T.DoubleType())])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: pdf[k].iloc[0] for k in by}
-        value = _largest_eigenvalue(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["weight"].to_numpy())
-        return pd.DataFrame([{**head, "node": pdf["ego"].iloc[0], "lambda": value}])
+    @F.pandas_udf(T.DoubleType())
+    def solve(u: pd.Series, v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([_largest_eigenvalue(np.asarray(a), np.asarray(b), np.asarray(c)) for a, b, c in zip(u, v, w)])
 
     small = attach(listed, sizes.where(F.col("_n") <= max_edges), [*by, "ego"]).drop("_n")
-    out = small.groupBy(*by, "ego").applyInPandas(solve, schema)
+    packed = small.groupBy(*by, F.col("ego").alias("node")).agg(*[F.collect_list(c).alias(c) for c in ("u", "v", "weight")])
+    out = packed.select(*by, "node", solve("u", "v", "weight").alias("lambda"))
     hubs = sizes.where(F.col("_n") > max_edges)
     if hubs.isEmpty():
         return out
@@ -234,7 +235,8 @@ def ego_eigenvalues(edges: DataFrame, keys, max_edges: int = 50_000, tolerance:
 def dominant_pair(edges: DataFrame, keys, min_nodes: int = 10) -> DataFrame:
     """Largest egonet eigenvalue against the egonet's total weight."""
     by = names(keys)
-    rows = attach(egonets(edges, by), ego_eigenvalues(edges, by), [*by, "node"])
+    found = settle(triangles(edges, by))
+    rows = attach(egonets(edges, by, found), ego_eigenvalues(edges, by, found=found), [*by, "node"])
     return oddball_scaled(rows, by, "lambda", "egonet_total_weight", min_nodes)
 
 
