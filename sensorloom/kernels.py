@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from sensorloom.session import settle
+from sensorloom.session import settle, tuning
 
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = tuning("CHUNK_ROWS", 100_000)
 SMALL_ROWS = 1_000_000
 SMALL_BYTES = 512 * 1024 * 1024
 IDX = "idx"

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom.kernels import CHUNK_ROWS, IDX, attach, chunk_of
-from sensorloom.session import settle
+from sensorloom.session import settle, tuning
 
-FAN = 1000
+FAN = tuning("SEEK_FAN", 1000)
 
 
 def _stack_scan(pos: np.ndarray, y: np.ndarray, strict: bool) -> tuple[list, list]:
@@ -57,7 +57,7 @@ def _chunk_rows(series: list[str], forward: bool, strict: bool):
     return solve
 
 
-def _seek(queries: DataFrame, maxima: DataFrame, series: list[str], strict: bool) -> DataFrame:
+def _seek(queries: DataFrame, maxima: DataFrame, series: list[str], strict: bool, level: int = 0) -> DataFrame:
     """First position after ``pos`` whose ``hi`` reaches ``y``; adds ``hit`` and lowers ``low``."""
 
     def reaches(hi, y):
@@ -90,9 +90,10 @@ def _seek(queries: DataFrame, maxima: DataFrame, series: list[str], strict: bool
         return found.drop("_sup")
     found = settle(found)
     done = found.where("hit IS NOT NULL").drop("_sup")
-    rest = found.where("hit IS NULL").drop("hit").withColumnRenamed("pos", "_pos").withColumnRenamed("_sup", "pos")
+    below = f"_pos{level}"
+    rest = found.where("hit IS NULL").drop("hit").withColumnRenamed("pos", below).withColumnRenamed("_sup", "pos")
     upper = groups.select(*series, F.col("_sup").alias("pos"), "hi", "lo")
-    rest = _seek(rest, upper, series, strict).withColumnRenamed("hit", "_sup").drop("pos").withColumnRenamed("_pos", "pos")
+    rest = _seek(rest, upper, series, strict, level + 1).withColumnRenamed("hit", "_sup").drop("pos").withColumnRenamed(below, "pos")
     rest = attach(rest, groups.select(*series, "_sup", "_items"), [*series, "_sup"], "left")
     rest = rest.withColumn("_k", first_hit(F.col("_items"), F.col("y")).cast("int"))
     before = F.slice("_items", F.lit(1), F.greatest(F.col("_k") - 1, F.lit(0)))
@@ -111,7 +112,6 @@ def nearest_higher(
     as high — strictly higher with ``strict`` — or null; ``low`` is the lowest
     value in between, null when there is none.
     """
-    sign = 1 if forward else -1
     rows = df.where(F.col(y).isNotNull()).select(
         *series, IDX, F.col(y).cast("double").alias("_y"), (F.lit(True) if ask is None else ask).alias("_ask"),
         chunk_of(IDX, chunk_rows).alias("_chunk"),
@@ -131,12 +131,14 @@ def nearest_higher(
     if chunks.groupBy(*series).count().where("count > 1").limit(1).count() == 0:
         loose = asked.where("target < 0").drop("_chunk").withColumn("target", F.lit(None).cast("bigint"))
     else:
-        queries = asked.where("target < 0").drop("target").withColumn("pos", F.col("_chunk") * sign)
-        maxima = chunks.select(*series, (F.col("_chunk") * sign).alias("pos"), "hi", "lo")
+        last = chunks.agg(F.max("_chunk")).first()[0]
+        turned = lambda c: F.col(c) if forward else F.lit(last) - F.col(c)  # noqa: E731 - later always means a larger position
+        queries = asked.where("target < 0").drop("target").withColumn("pos", turned("_chunk"))
+        maxima = chunks.select(*series, turned("_chunk").alias("pos"), "hi", "lo")
         sought = settle(_seek(queries, maxima, series, strict))
         open_ended = sought.where("hit IS NULL").select(*series, IDX, "y", F.lit(None).cast("bigint").alias("target"), "low")
         pairs = (
-            sought.where("hit IS NOT NULL").groupBy(*series, "_chunk", (F.col("hit") * sign).alias("_to"))
+            sought.where("hit IS NOT NULL").groupBy(*series, "_chunk", turned("hit").alias("_to"))
             .agg(F.collect_list(F.struct(F.col(IDX), F.col("y"), F.col("low"))).alias("_q"))
         )
         records = chunks.select(*series, F.col("_chunk").alias("_to"), "r_idx", "r_y", "r_low")

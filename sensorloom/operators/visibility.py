@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from sensorloom.kernels import CHUNK_ROWS, IDX, attach, names
 from sensorloom.nearest import nearest_higher
-from sensorloom.session import settle
+from sensorloom.session import settle, tuning
 
-LEAF_ROWS = 2048
-FAN = 32
+LEAF_ROWS = tuning("LEAF_ROWS", 2048)
+FAN = tuning("LEAF_FAN", 32)
 
 _LONGS, _DOUBLES = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
 

@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
+def tuning(name: str, default: int) -> int:
+    """Size of a chunk, leaf or block: ``SENSORLOOM_<NAME>`` in the environment, or the default."""
+    return int(os.environ.get(f"SENSORLOOM_{name}", default))
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (
