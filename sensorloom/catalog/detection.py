@@ -493,7 +493,7 @@ WITH RECURSIVE {CAL} SELECT event_type AS feature, round(mean, 6) + 0.0 AS mean,
   round(p1, 6) AS p1, round(p99, 6) AS p99, round(wl, 6) AS warning_lower, round(du, 6) AS danger_upper, combo AS best_combo, round(mu, 6) + 0.0 AS mu0, round(h, 6) AS h, round(k, 6) AS k FROM th
 """)
 def calibrated_thresholds(spark, sf):
-    out = thresholds.calibrate(seasonal_residuals(spark, sf).select("feature", IDX, "residual"))
+    out = thresholds.calibrate(settle(seasonal_residuals(spark, sf).select("feature", IDX, "residual")))
     return rounded(out.select("feature", "mean", "std", "median", "mad", "iqr", "p1", "p99", "warning_lower", "danger_upper", "best_combo", "mu0", "h", "k"))
 
 
@@ -506,7 +506,7 @@ ap AS (SELECT s.event_type, s.idx, value < wl OR value > wu AS sw, value < dl OR
 
 
 def click_thresholds(spark, sf):
-    rows = seasonal_residuals(spark, sf).select("feature", IDX, "residual")
+    rows = settle(seasonal_residuals(spark, sf).select("feature", IDX, "residual"))
     learned = settle(thresholds.calibrate(rows.where("feature = 'click'")))
     names = F.explode(F.array(*[F.lit(e) for e in EVENT_TYPES])).alias("feature")
     return rows, learned.drop("feature").select(names, "*")

@@ -84,16 +84,17 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: str | Sequence[str], how
 def order_index(df: DataFrame, series: str | Sequence[str] | None, order: str | Sequence[str], out: str = IDX) -> DataFrame:
     """Dense 0-based position of every row inside its series, in ``order``.
 
-    ``order`` must be unique inside a series (add tie-break columns).  Inputs
-    proven small use a plain ``row_number``.  Others are range-partitioned on
-    (series, order), written once, and numbered from each partition's offset, so
-    a series of any length is spread over many tasks.
+    ``order`` must be unique inside a series (add tie-break columns).  The result
+    is written once, since ordered operators scan their rows at least twice.
+    Inputs proven small use a plain ``row_number``.  Others are range-partitioned
+    on (series, order) and numbered from each partition's offset, so a series of
+    any length is spread over many tasks.
     """
     series, order = names(series), names(order)
     if fits(df):
         by = series or [F.lit(1)]
         window = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(window) - 1).cast("bigint"))
+        return settle(df.withColumn(out, (F.row_number().over(window) - 1).cast("bigint")))
 
     keys = [*series, *order]
     placed = settle(

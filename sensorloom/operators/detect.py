@@ -91,7 +91,7 @@ def peaks_above(df: DataFrame, series, value: str, limits: DataFrame, chunk_rows
     tops = attach_stats(local_maxima(df, by, value, chunk_rows), limits, by)
     tops = settle(tops.where(F.col("height") >= F.col("height_threshold")))
     asked = attach(df.where(F.col(value).isNotNull()).select(*by, IDX, value), tops.select(*by, IDX, F.lit(True).alias("_top")), [*by, IDX], "left")
-    asked = asked.withColumn("_top", F.col("_top").isNotNull())
+    asked = settle(asked.withColumn("_top", F.col("_top").isNotNull()))
     sides = []
     for forward in (False, True):
         side = nearest_higher(asked, by, value, F.col("_top"), forward, True, chunk_rows)
@@ -249,14 +249,14 @@ def any_flag(columns: Sequence[str] = FLAGS) -> Column:
 
 
 def analyze(df: DataFrame, series, value: str, **config) -> DataFrame:
-    """All five point detectors and their union on every series."""
-    c = DEFAULTS | config
-    rows = zscore(df, series, value, c["z_window"], c["z_threshold"])
-    rows = mad(rows, series, value, c["mad_threshold"])
-    rows = with_peaks(rows, series, value, peak_params(df, series, value, c["height_sigma"], c["prominence_factor"]))
-    rows = trend(rows, series, value, c["trend_window"], c["trend_sigma"])
-    rows = ewma_cusum(rows, series, value, c["ewma_alpha"], c["baseline_samples"])
-    return rows.withColumn("any_anom", any_flag())
+    """All five point detectors and their union on every series.
+
+    The thresholds are learned from the series first, in passes that read only
+    the value, and then applied in one pass.
+    """
+    from sensorloom.operators.thresholds import apply_point
+
+    return apply_point(df, point_thresholds(df, series, value, **config), series, value, **config)
 
 
 def point_thresholds(df: DataFrame, series, value: str, **config) -> DataFrame:

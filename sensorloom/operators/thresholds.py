@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.kernels import IDX, attach, attach_stats, names, quantiles
+from sensorloom.kernels import IDX, attach, attach_stats, framed, names, quantiles
 from sensorloom.operators import detect
+from sensorloom.operators.windows import rolling_exprs
+from sensorloom.session import settle
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 COMBINED = (
@@ -147,13 +149,24 @@ def apply_point(df: DataFrame, thresholds: DataFrame, series, value: str, **conf
     if "slope_lower" not in kept:
         thresholds = thresholds.withColumn("slope_lower", F.lit(None).cast("double"))
         kept.append("slope_lower")
+    thresholds = settle(thresholds)
     limits = thresholds.select(*by, *[F.col(n).alias(f"_th_{n}") for n in kept])
-    rows = attach_stats(df, limits, by)
-    rows = detect.slopes(rows, by, value, c["trend_window"])
+    tops = detect.peaks_above(df.select(*by, IDX, value), by, value, thresholds.select(*by, "height_threshold", "prominence_threshold"))
+    rows = attach(df, tops.select(*by, IDX, "prominence"), [*by, IDX], "left").withColumn("peak", F.col("prominence").isNotNull())
+    rows = attach(rows, limits, by)
+    z_window, trend_window = c["z_window"], c["trend_window"]
+    rows = framed(
+        rows, by,
+        lambda w: [
+            rolling_exprs(w, value, z_window, {"_m": "mean", "_s": "std"}) | rolling_exprs(w, value, trend_window, {"roll_avg": "mean"}),
+            {"slope": F.col("roll_avg") - F.lag("roll_avg").over(w)},
+        ],
+        max(z_window - 1, trend_window),
+    )
     low, high = F.col("_th_slope_lower"), F.col("_th_slope_upper")
     rows = rows.withColumn("trend_anom", detect.flag((F.col("slope") > high) | (low.isNotNull() & (F.col("slope") < low))))
-    rows = detect.with_peaks(rows, by, value, thresholds.select(*by, "height_threshold", "prominence_threshold"))
-    rows = detect.zscore(rows, by, value, c["z_window"], F.col("_th_z_k"))
+    rows = rows.withColumn("zscore", F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+    rows = rows.withColumn("z_anom", detect.flag(F.abs("zscore") > F.col("_th_z_k")))
     rows = rows.withColumn("median", F.col("_th_median")).withColumn("mad", F.col("_th_mad"))
     rows = detect.mad_flags(rows, value, F.col("_th_mad_k")).drop("median", "mad")
     rows = detect.ewma(rows, by, value, c["ewma_alpha"])
