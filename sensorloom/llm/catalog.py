@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import table
-from sensorloom.llm import licenses, lines, winnow
+from sensorloom.llm import bpe, crf, langid, licenses, lines, winnow
+
+
+BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(table(spark, sf, "documents"), *BPE)
 
 
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,15 +24,23 @@ def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_quality_crf(spark: SparkSession, sf: str) -> DataFrame:
+    return crf.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.3)
+
+
 def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return winnow.fingerprint_pairs(table(spark, sf, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify_held_out(table(spark, sf, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_fingerprints, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op8_language_id, op9_license_scan)}
 
 ORACLES = {
     "op3_line_dedup": r"""
