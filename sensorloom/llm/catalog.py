@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import table
-from sensorloom.llm import bpe, crf, langid, licenses, lines, winnow
-
+from sensorloom.llm import bpe, crf, langid, licenses, lines, warc, winnow
+from sensorloom.session import scratch_dir
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf, "pages"), path, min_bytes=0)
+    records = warc.read_archives(spark, path, with_payload=False).where("reason IS NULL")
+    return records.select(
+        F.expr("try_cast(record_id AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("try_cast(refers_to AS bigint)").alias("refers_to"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), *BPE)
 
@@ -40,7 +52,7 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op8_language_id, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op8_language_id, op9_license_scan)}
 
 ORACLES = {
     "op3_line_dedup": r"""
