@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import table
-from sensorloom.llm import bpe, crf, langid, licenses, lines, warc, winnow
+from sensorloom.llm import bpe, crf, langid, licenses, lines, substrings, warc, winnow
 from sensorloom.session import scratch_dir
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -44,6 +44,10 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return winnow.fingerprint_pairs(table(spark, sf, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf, "documents"), length=13, with_text=False)
+
+
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf, "documents"))
 
@@ -52,9 +56,20 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op8_language_id, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op7_substring_dedup, op8_language_id, op9_license_scan)}
 
 ORACLES = {
+    "op7_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+             r AS (SELECT doc_id, unnest(range(greatest(len(w) - 12, 0))) AS i, w FROM t),
+             g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS run FROM r),
+             m AS (SELECT run, min(doc_id) AS least FROM g GROUP BY run),
+             c AS (SELECT DISTINCT doc_id, i + j AS p FROM g JOIN m USING (run), (SELECT unnest(range(13)) AS j) WHERE least < doc_id),
+             s AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+             k AS (SELECT doc_id, w, list_filter(range(len(w)), lambda p: NOT list_contains(coalesce(gone, []), p)) AS stay FROM t LEFT JOIN s USING (doc_id))
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(stay))::BIGINT AS n_removed,
+               sha256(array_to_string(list_transform(stay, lambda p: w[p + 1]), ' ')) AS kept_sha256 FROM k
+    """,
     "op3_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
