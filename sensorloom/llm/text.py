@@ -89,3 +89,21 @@ def grams(hashes: np.ndarray, doc: np.ndarray, k: int, seed: int = 0) -> tuple[n
         out += hashes[j : j + n]
     at = np.flatnonzero(doc[:n] == doc[k - 1 :])
     return mix(out[at]), at
+
+
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``k`` words and the text of each, by text; a shorter text is one run, one without words has none."""
+    value, at = grams(words.hash, words.doc, k)
+    values, docs = [value], [words.doc[at]]
+    counts = np.diff(words.first)
+    for size in range(1, k):
+        short = np.flatnonzero(counts == size)
+        if len(short):
+            run = np.zeros(len(short), np.uint64)
+            for j in range(size):
+                run = mix(run + words.hash[words.first[short] + j])
+            values.append(run)
+            docs.append(short)
+    value, doc = np.concatenate(values), np.concatenate(docs)
+    order = np.argsort(doc, kind="stable")
+    return value[order], doc[order]
