@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import table
-from sensorloom.llm import bpe, chosen_path, crf, langid, licenses, lines, substrings, warc, winnow
+from sensorloom.llm import bpe, chosen_path, crf, decontaminate, langid, licenses, lines, substrings, warc, winnow
 from sensorloom.session import scratch_dir
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -44,6 +44,10 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return winnow.fingerprint_pairs(table(spark, sf, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf, "documents"), length=13, with_text=False)
 
@@ -60,7 +64,7 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return chosen_path.similar_classes(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op7_substring_dedup, op8_language_id, op9_license_scan, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op6_decontamination, op7_substring_dedup, op8_language_id, op9_license_scan, op10_jaccard_join)}
 
 ORACLES = {
     "op7_substring_dedup": r"""
