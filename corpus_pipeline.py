@@ -1,5 +1,69 @@
-"""Placeholder until the stages are complete: the queries of the text operators."""
+"""From raw documents to tokens: quality, shared lines, near duplicates, benchmark leaks, byte-level BPE.
 
-from sensorloom.llm.catalog import ORACLES, QUERIES
+Each stage works on all that the one before kept; its result is written to the shared folder as Parquet and read again, so a lost
+executor costs a re-read and no stage is computed twice.  All stages but the last return the columns of ``documents``.
+"""
 
-__all__ = ["ORACLES", "QUERIES"]
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorloom.catalog.base import table
+from sensorloom.llm import bpe, catalog, chosen_path, crf, decontaminate, lines
+from sensorloom.session import scratch_dir
+
+LEAST_QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches ``LEAST_QUALITY``; the field of lines is fitted on the labelled ones."""
+    score = crf.score_column(crf.train(docs, table(spark, sf_dir, "labels")))
+    return docs.where(score(F.col("text")) >= LEAST_QUALITY)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten documents share; ``n_chars`` follows the text."""
+    cut = lines.dedup_lines(docs, min_docs=10, min_chars=1)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of least id, once."""
+    classes = chosen_path.similar_classes(docs)
+    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text that is left, with digests of the ids and of the decoded bytes."""
+    return bpe.digests(docs, *catalog.BPE, with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination), ("byte-level BPE", tokens),
+]
+#: The conditional random field and the latent space have no SQL; tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
+
+
+QUERIES = catalog.QUERIES | {"pipeline": run}
+ORACLES = catalog.ORACLES | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})

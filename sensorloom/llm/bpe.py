@@ -211,14 +211,16 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
     return _mapped(docs, vocabulary_path, pattern, text, doc, "n_tokens long, ids array<int>", lambda tool, ids: {"n_tokens": len(ids), "ids": ids})
 
 
-def digests(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """``(doc, n_tokens, ids_sha256, decoded_sha256)``: digests of what ``encode`` gives and of its decoded bytes, without moving either."""
+def digests(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", doc: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """``(doc, n_tokens, ids_sha256, decoded_sha256)``: digests of what ``encode`` gives and of its decoded bytes, without moving either (or with the ids)."""
 
     def row(tool: Codec, ids: list[int]) -> dict:
         joined = b",".join(map(tool.digits_of.__getitem__, ids))
-        return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(joined).hexdigest(), "decoded_sha256": hashlib.sha256(tool.decode(ids)).hexdigest()}
+        out = {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(joined).hexdigest(), "decoded_sha256": hashlib.sha256(tool.decode(ids)).hexdigest()}
+        return out | {"ids": np.array(ids, np.int32)} if with_ids else out
 
-    return _mapped(docs, vocabulary_path, pattern, text, doc, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return _mapped(docs, vocabulary_path, pattern, text, doc, schema, row)
 
 
 def decode(tokens: DataFrame, vocabulary_path: str, ids: str = "ids", doc: str = "doc_id") -> DataFrame:
