@@ -194,6 +194,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         block = np.zeros((n, 4096), np.float32)
         block[owner[i], col[i] - low] = 1
         out += block @ block.T
+    np.fill_diagonal(out, [len(s) for s in sets])
     return np.rint(out).astype(np.int64)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 5
-WINDOW = 16
+WINDOW = 8
 _PLACE_BITS = 26
 _PLACES = (1 << _PLACE_BITS) - 1
 _LONGS = "array<bigint>"
