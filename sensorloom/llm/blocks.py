@@ -32,6 +32,8 @@ def in_blocks(docs: DataFrame, key: str, n_bytes: int, block_bytes: int = BLOCK_
 
 def dealt(values: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Buckets and the indices of their values."""
+    if not len(values):
+        return
     bucket = (values % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))

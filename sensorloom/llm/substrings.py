@@ -58,6 +58,8 @@ def _runs(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _sorted_unique(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct (key, check) with their least document, and whether a larger one has it too."""
+    if not len(key):
+        return key, check, doc, np.zeros(0, bool)
     order = np.lexsort((doc, check, key))
     key, check, doc = key[order], check[order], doc[order]
     new = np.ones(len(key), bool)
