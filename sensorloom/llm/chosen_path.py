@@ -21,6 +21,8 @@ TOKENS = 64
 DEPTH = 3
 LIMIT = 1024
 CHUNK = 256
+CHUNK_SET_BYTES = 4 << 20
+PAIRS = 1 << 20
 _SEED = 20_011
 
 
@@ -122,7 +124,7 @@ def _compared(least: float):
     def run(bundle: pd.DataFrame) -> pd.DataFrame:
         bundle = bundle.sort_values(["_leaf", "_node"])
         leaf, node, table = bundle["_leaf"].to_numpy(), bundle["_node"].to_numpy(), _table(bundle["_tokens"])
-        first, second, step, at = [], [], 1, np.arange(len(bundle))
+        first, second, held, step, at = [], [], 0, 1, np.arange(len(bundle))
         while True:
             at = at[at + step < len(leaf)]
             at = at[leaf[at] == leaf[at + step]]
@@ -133,6 +135,11 @@ def _compared(least: float):
                 near = part[(table[part] == table[part + step]).mean(axis=1) >= least]
                 first.append(near)
                 second.append(near + step)
+                held += len(near)
+                if held > PAIRS:  # only what they connect is kept
+                    root = _roots(len(leaf), np.concatenate(first), np.concatenate(second))
+                    linked = np.flatnonzero(root != np.arange(len(root)))
+                    first, second, held = [linked], [root[linked]], len(linked)
             step += 1
         if not first:
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
@@ -253,9 +260,11 @@ def similar_classes(docs: DataFrame, text: str = "text", doc: str = "doc_id", si
 
     found = components(candidate_edges(sets, similarity, recall, depth, limit))
     members = found.select(F.col("node").alias("_node"), F.col("root").alias("_comp")).union(found.select("root", "root").distinct())
-    sizes = members.groupBy("_comp").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_parts"))
+    members = members.join(classes.drop("_tokens"), "_node")
+    by_count, by_size = F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("_size") * 8 / CHUNK_SET_BYTES)
+    sizes = members.groupBy("_comp").agg(F.greatest(by_count, by_size, F.lit(1)).cast("int").alias("_parts"))
     members = settle(
-        members.join(sizes, "_comp").join(classes.drop("_tokens"), "_node")
+        members.join(sizes, "_comp")
         .select("_node", "_comp", "_parts", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int").alias("_part"), "_same", "_rep", "_size")
     )
     load = members.agg(F.sum(F.col("_size") * 8.0 * F.col("_parts"))).first()[0] or 0
