@@ -179,7 +179,7 @@ def candidate_edges(sets: DataFrame, similarity: float = SIMILARITY, recall: flo
         rows = rows.union(other)
     rows = settle(rows)
     bundles = bucket_count(sets, rows.count() * (tokens * 4 + 24), 8 << 20)
-    met = rows.join(sets, "_node").select("_node", "_leaf", "_tokens", F.pmod(F.xxhash64("_leaf"), F.lit(bundles)).cast("int").alias("_bundle"))
+    met = rows.join(sets.hint("merge"), "_node").select("_node", "_leaf", "_tokens", F.pmod(F.xxhash64("_leaf"), F.lit(bundles)).cast("int").alias("_bundle"))
     return met.groupBy("_bundle").applyInPandas(_compared(least), "a long, b long").distinct()
 
 
@@ -270,7 +270,8 @@ def similar_classes(docs: DataFrame, text: str = "text", doc: str = "doc_id", si
     load = members.agg(F.sum(F.col("_size") * 8.0 * F.col("_parts"))).first()[0] or 0
     bundles = bucket_count(docs, load, 8 << 20)
     texts = rows.select(F.col("_key").alias("_k"), F.unhex(F.md5("_text")).alias("_s"), "_text")
-    met = texts.join(members, (F.col("_k") == F.col("_rep")) & (F.col("_s") == F.col("_same"))).select("_node", "_comp", "_part", "_parts", "_text")
+    # members grow with the documents: the same shuffled join at every size
+    met = texts.join(members.hint("merge"), (F.col("_k") == F.col("_rep")) & (F.col("_s") == F.col("_same"))).select("_node", "_comp", "_part", "_parts", "_text")
     held = met.mapInPandas(_sets(shingle), "_node long, _comp long, _part int, _parts int, _set binary")
     tasks = held.select("_node", "_comp", "_part", "_set", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other")).select(
         "_node", "_part", "_set", F.xxhash64("_comp", F.least("_part", "_other"), F.greatest("_part", "_other")).alias("_task")
