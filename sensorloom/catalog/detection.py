@@ -9,6 +9,7 @@ from sensorloom.catalog.base import (
 )
 from sensorloom.kernels import IDX, attach, framed, quantiles
 from sensorloom.operators import detect, outliers, scale, thresholds
+from sensorloom.operators.split import with_total
 from sensorloom.plans import flows
 from sensorloom.session import settle
 
@@ -58,12 +59,14 @@ def coral_covariance(spark, sf):
 
 
 @query("standardised_with_stored_params", f"""
-WITH {EV}, p AS (SELECT event_type, avg(value) AS c, stddev_pop(value) AS s FROM ev WHERE idx < 1000 GROUP BY 1)
+WITH {EV}, n AS (SELECT event_type, count(*) AS n FROM ev GROUP BY 1),
+p AS (SELECT ev.event_type, avg(value) AS c, stddev_pop(value) AS s FROM ev JOIN n ON ev.event_type = n.event_type WHERE idx < n // 2 GROUP BY 1)
 SELECT ev.event_type, event_id, round((value - c) / s, 6) + 0.0 AS z FROM ev JOIN p ON ev.event_type = p.event_type
 """)
 def standardised_with_stored_params(spark, sf):
     rows = indexed_events(spark, sf)
-    params = rows.where(F.col(IDX) < 1000).groupBy(F.col("event_type").alias("feature")).agg(
+    early = with_total(rows, "event_type", "_n").where(F.col(IDX) < F.floor(F.col("_n") / 2))  # the first half of every series
+    params = early.groupBy(F.col("event_type").alias("feature")).agg(
         F.avg("value").alias("centre"), F.stddev_pop("value").alias("scale"))
     return rounded(scale.standardise_with(rows, params, "event_type", "value", "z").select(*EVENT_ROW, "z"))
 
@@ -216,7 +219,7 @@ def cusum_selection(spark, sf):
     """The error series plays the stress test for the balanced strategy."""
     grid = settle(detect.cusum_grid(indexed_events(spark, sf), "event_type", "value", 0.1, 500))
     stress = grid.where("event_type = 'error'").select("combo", "alarm_rate")
-    test = grid.select("event_type", "combo").join(F.broadcast(stress), "combo")
+    test = grid.select("event_type", "combo").join(stress, "combo")
     out = None
     for strategy in ("min_baseline_alarms", "max_sensitivity", "balanced"):
         best = detect.select_cusum(grid, "event_type", test, strategy).select("event_type", F.lit(strategy).alias("strategy"), "combo", "alarm_rate")
@@ -267,12 +270,11 @@ def local_outlier_factor(spark, sf):
 @query("mahalanobis", f"""
 WITH {LI}, s AS (SELECT avg(quantity) AS mq, avg(discount) AS md, var_samp(quantity) + 1e-6 AS a, covar_samp(quantity, discount) AS b, var_samp(discount) + 1e-6 AS c FROM li WHERE domain = 'N'),
 d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, domain, sqrt((c * (quantity - mq) ** 2 - 2 * b * (quantity - mq) * (discount - md) + a * (discount - md) ** 2) / (a * c - b * b)) AS score FROM li, s)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(score, 6) AS score, score > (SELECT quantile_cont(score, 0.95) FROM d WHERE domain = 'N') + 1e-9 AS anomaly FROM d
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(score, 6) AS score, round(score, 9) > (SELECT round(quantile_cont(score, 0.95), 9) FROM d WHERE domain = 'N') AS anomaly FROM d
 """)
 def mahalanobis(spark, sf):
     rows = lines(spark, sf)
     model = outliers.Mahalanobis(["quantity", "discount"]).fit(rows.where("domain = 'N'"))
-    model.threshold += 1e-9
     return rounded(model.predict(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "score", "anomaly"))
 
 
@@ -303,7 +305,7 @@ def binary_evaluation(spark, sf):
 
 @query("detector_sweep")
 def detector_sweep(spark, sf):
-    """Every SQL-able and sampled detector under every adapter; errors stay in their row."""
+    """Detectors under every adapter; errors stay in their row."""
     rows = lines(spark, sf)
     return flows.sweep(
         rows.where("domain = 'N'"), rows.where("domain = 'R'"), rows.where("domain = 'A'"), FEATURES,
@@ -316,7 +318,7 @@ WITH {LI}, z AS (SELECT domain, (quantity - (SELECT avg(quantity) FROM li WHERE
   (discount - (SELECT avg(discount) FROM li WHERE domain = 'N')) / (SELECT stddev_pop(discount) FROM li WHERE domain = 'N') AS p FROM li),
 s AS (SELECT avg(q) AS mq, avg(p) AS md, var_samp(q) + 1e-6 AS a, covar_samp(q, p) AS b, var_samp(p) + 1e-6 AS c FROM z WHERE domain = 'N'),
 d AS (SELECT domain, sqrt((c * (q - mq) ** 2 - 2 * b * (q - mq) * (p - md) + a * (p - md) ** 2) / (a * c - b * b)) AS score FROM z, s),
-f AS (SELECT domain, score > (SELECT quantile_cont(score, 0.95) FROM d WHERE domain = 'N') + 1e-9 AS anomaly FROM d),
+f AS (SELECT domain, round(score, 9) > (SELECT round(quantile_cont(score, 0.95), 9) FROM d WHERE domain = 'N') AS anomaly FROM d),
 c AS (SELECT count(*) FILTER (WHERE anomaly AND domain = 'R') AS tp, count(*) FILTER (WHERE NOT anomaly AND domain = 'R') AS fn,
   count(*) FILTER (WHERE NOT anomaly AND domain = 'A') AS tn, count(*) FILTER (WHERE anomaly AND domain = 'A') AS fp FROM f)
 SELECT 'mahalanobis' AS model, 'standard' AS adapter, tp, fn, tn, fp FROM c
@@ -325,7 +327,7 @@ def mahalanobis_sweep(spark, sf):
     rows = lines(spark, sf)
     out = flows.sweep(
         rows.where("domain = 'N'"), rows.where("domain = 'R'"), rows.where("domain = 'A'"), ("quantity", "discount"),
-        ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), models=("mahalanobis",), adapters=("standard",), slack=1e-9,
+        ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), models=("mahalanobis",), adapters=("standard",),
     )
     return out.select("model", "adapter", "tp", "fn", "tn", "fp")
 
@@ -557,15 +559,22 @@ def annotated_table(spark, sf):
 
 
 @query("combined_thresholds", f"""
-WITH {EV}, {RES}, a AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS std FROM rs WHERE idx < 1000 GROUP BY 1),
-b AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS std, avg(value) + 2 * stddev_pop(value) AS wu FROM rs WHERE idx >= 1000 GROUP BY 1)
-SELECT a.event_type AS feature, round(0.7::DOUBLE * a.mean + 0.3::DOUBLE * b.mean, 6) + 0.0 AS mean, round(0.7::DOUBLE * a.std + 0.3::DOUBLE * b.std, 6) AS std, round(wu, 6) AS warning_upper
-FROM a JOIN b ON a.event_type = b.event_type
+WITH {EV}, {RES}, n AS (SELECT event_type, count(*) AS n FROM rs GROUP BY 1),
+h AS (SELECT rs.event_type, value, idx < n // 2 AS early FROM rs JOIN n ON rs.event_type = n.event_type),
+a AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS std FROM h WHERE early GROUP BY 1),
+b AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS std, avg(value) + 2 * stddev_pop(value) AS wu FROM h WHERE NOT early GROUP BY 1)
+SELECT coalesce(a.event_type, b.event_type) AS feature, round((coalesce(1.4::DOUBLE * a.mean, 0) + coalesce(0.6::DOUBLE * b.mean, 0))
+    / (CASE WHEN a.mean IS NULL THEN 0 ELSE 1.4::DOUBLE END + CASE WHEN b.mean IS NULL THEN 0 ELSE 0.6::DOUBLE END), 4) + 0.0 AS mean,
+  round((coalesce(1.4::DOUBLE * a.std, 0) + coalesce(0.6::DOUBLE * b.std, 0))
+    / (CASE WHEN a.std IS NULL THEN 0 ELSE 1.4::DOUBLE END + CASE WHEN b.std IS NULL THEN 0 ELSE 0.6::DOUBLE END), 4) AS std, round(wu, 4) AS warning_upper
+FROM a FULL JOIN b ON a.event_type = b.event_type
 """)
 def combined_thresholds(spark, sf):
-    rows = seasonal_residuals(spark, sf)
+    """Limits of the first half of every series, combined with those of the second."""
+    rows = with_total(seasonal_residuals(spark, sf), "feature", "_n")
+    early = F.col(IDX) < F.floor(F.col("_n") / 2)
     stats = [F.avg("residual").alias("mean"), F.stddev_pop("residual").alias("std")]
-    a = rows.where(F.col(IDX) < 1000).groupBy("feature").agg(*stats)
-    b = rows.where(F.col(IDX) >= 1000).groupBy("feature").agg(*stats, (F.avg("residual") + 2 * F.stddev_pop("residual")).alias("warning_upper"))
+    a = rows.where(early).groupBy("feature").agg(*stats)
+    b = rows.where(~early).groupBy("feature").agg(*stats, (F.avg("residual") + 2 * F.stddev_pop("residual")).alias("warning_upper"))
     out = thresholds.combine_weighted([(a, 1.4), (b, 0.6)])
-    return rounded(out.select("feature", "mean", "std", "warning_upper"))
+    return rounded(out.select("feature", "mean", "std", "warning_upper"), 4)

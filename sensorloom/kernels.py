@@ -21,9 +21,8 @@ from pyspark.sql.window import Window, WindowSpec
 from sensorloom.session import settle, tuning
 
 CHUNK_ROWS = tuning("CHUNK_ROWS", 100_000)
-SMALL_ROWS = 1_000_000
-SMALL_BYTES = 512 * 1024 * 1024
 IDX = "idx"
+NEVER_NULL = {IDX, "_chunk", "_part", "_super", "_one"}
 _START = Window.unboundedPreceding
 
 
@@ -33,27 +32,11 @@ def names(cols: str | Sequence[str] | None) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def small_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("sensorloom.small.rows", str(SMALL_ROWS)))
-
-
-def fits(df: DataFrame, rows: int | None = None) -> bool:
-    """True only when ``df`` is proven to have at most ``rows`` rows.
+def attach(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` that also matches null keys and keeps one copy of them.
 
-    The optimizer's size estimate rejects large inputs without a job; what is
-    left is counted with no columns read.
+    Positions (``idx``, ``_chunk``, ``_part`` …) are never null and join by plain equality.
     """
-    rows = small_rows(df) if rows is None else rows
-    if rows <= 0:
-        return False
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) > SMALL_BYTES:
-        return False
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
-
-
-def attach(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` that also matches null keys and keeps one copy of them."""
     keys = names(keys)
     if not keys:
         keys = ["_one"]
@@ -63,7 +46,8 @@ def attach(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: st
         *[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
     condition = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+        lambda a, b: a & b,
+        [F.col(k) == F.col(f"_right_{k}") if k in NEVER_NULL else F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys],
     )
     joined = left.join(renamed, condition, how)
     return joined.drop(*[f"_right_{k}" for k in keys])
@@ -91,11 +75,6 @@ def order_index(df: DataFrame, series: str | Sequence[str] | None, order: str |
     any length is spread over many tasks.
     """
     series, order = names(series), names(order)
-    if fits(df):
-        by = series or [F.lit(1)]
-        window = Window.partitionBy(*by).orderBy(*order)
-        return settle(df.withColumn(out, (F.row_number().over(window) - 1).cast("bigint")))
-
     keys = [*series, *order]
     placed = settle(
         df.repartitionByRange(*keys)
@@ -165,6 +144,41 @@ def framed(
 
 # --------------------------------------------------------------------------- K3
 
+SUPER_CHUNKS = tuning("SUPER_CHUNKS", 10_000)
+
+
+def _running(totals: DataFrame, series: list[str], aggs: dict[str, Callable[[Column], Column]], backward: bool = False) -> DataFrame:
+    """For every chunk the aggregate of each column over all chunks before it (after it, when ``backward``).
+
+    ``aggs`` maps a column to its associative aggregate (sum, min, last non-null …).  Chunks are taken in groups of
+    ``SUPER_CHUNKS``: a window inside each group, and one over the groups, so no window
+    holds more than that many chunks of a series until there are 10^13 rows.  Output columns are ``_before_<column>``.
+    """
+    rows = totals.withColumn("_super", F.floor(F.col("_chunk") / SUPER_CHUNKS).cast("bigint"))
+    turn = F.desc if backward else F.asc
+    inside = Window.partitionBy(*series, "_super").orderBy(turn("_chunk"))
+    whole = {c: f(F.col(c)).over(inside.rowsBetween(_START, Window.unboundedFollowing)) for c, f in aggs.items()}
+    rows = rows.select(
+        "*", *[f(F.col(c)).over(inside.rowsBetween(_START, -1)).alias(f"_in_{c}") for c, f in aggs.items()],
+        *[w.alias(f"_all_{c}") for c, w in whole.items()], F.row_number().over(inside).alias("_k"),
+    )
+    over = Window.partitionBy(*(series or [F.lit(1)])).orderBy(turn("_super")).rowsBetween(_START, -1)
+    groups = rows.where("_k = 1").select(*series, "_super", *[f(F.col(f"_all_{c}")).over(over).alias(f"_out_{c}") for c, f in aggs.items()])
+    met = attach(rows, groups, [*series, "_super"])
+
+    def both(c: str, f) -> Column:
+        pair = F.array(F.col(f"_out_{c}"), F.col(f"_in_{c}"))
+        kind = f.__name__
+        if kind == "sum":
+            return F.coalesce(F.col(f"_out_{c}") + F.col(f"_in_{c}"), f"_out_{c}", f"_in_{c}")
+        return F.array_min(pair) if kind == "min" else F.coalesce(f"_in_{c}", f"_out_{c}")
+
+    return met.select(*totals.columns, *[both(c, f).alias(f"_before_{c}") for c, f in aggs.items()])
+
+
+def last_known(column: Column) -> Column:
+    return F.last(column, ignorenulls=True)
+
 
 def prefix_sums(
     df: DataFrame,
@@ -179,10 +193,8 @@ def prefix_sums(
     for name, expr in sums.items():
         rows = rows.withColumn(f"_x_{name}", expr)
     totals = rows.groupBy(*series, "_chunk").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
-    earlier = Window.partitionBy(*(series or [F.lit(1)])).orderBy("_chunk").rowsBetween(_START, -1)
-    carry = totals.select(
-        *series, "_chunk",
-        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
+    carry = _running(totals, series, {f"_t_{n}": F.sum for n in sums}).select(
+        *series, "_chunk", *[F.coalesce(f"_before__t_{n}", F.lit(0)).alias(f"_c_{n}") for n in sums]
     )
     upto = chunk_window(series, idx=idx).rowsBetween(_START, 0)
     rows = attach(rows, carry, [*series, "_chunk"])
@@ -200,8 +212,9 @@ def carry_fill(
     backward: bool = False,
     chunk_rows: int = CHUNK_ROWS,
     idx: str = IDX,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Last (or, backward, next) non-null value at or before (after) each row.
+    """Last (or, backward, next) non-null value at or before (after) each row, or strictly so if ``exclusive``.
 
     ``fills`` maps output column to input column.
     """
@@ -214,14 +227,11 @@ def carry_fill(
             for out, src in fills.items()
         ]
     )
-    by = Window.partitionBy(*(series or [F.lit(1)]))
-    beyond = (by.orderBy(F.desc("_chunk")) if backward else by.orderBy("_chunk")).rowsBetween(_START, -1)
-    carry = ends.select(
-        *series, "_chunk",
-        *[F.last(f"_e_{o}", ignorenulls=True).over(beyond).alias(f"_c_{o}") for o in fills],
+    carry = _running(ends, series, {f"_e_{o}": last_known for o in fills}, backward).select(
+        *series, "_chunk", *[F.col(f"_before__e_{o}").alias(f"_c_{o}") for o in fills]
     )
     inside = Window.partitionBy(*series, "_chunk")
-    inside = (inside.orderBy(F.desc(idx)) if backward else inside.orderBy(idx)).rowsBetween(_START, 0)
+    inside = (inside.orderBy(F.desc(idx)) if backward else inside.orderBy(idx)).rowsBetween(_START, -1 if exclusive else 0)
     rows = attach(rows, carry, [*series, "_chunk"])
     rows = rows.select(
         "*",
@@ -255,22 +265,13 @@ def reflected_walk(
         *[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in steps],
         *[F.min(f"_l_{n}").alias(f"_m_{n}") for n in steps],
     )
-    earlier = Window.partitionBy(*(series or [F.lit(1)])).orderBy("_chunk").rowsBetween(_START, -1)
-    carry = ends.select(
-        "*", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0.0)).alias(f"_b_{n}") for n in steps]
+    carry = _running(ends, series, {f"_t_{n}": F.sum for n in steps}).select(
+        *series, "_chunk", *[F.coalesce(f"_before__t_{n}", F.lit(0.0)).alias(f"_b_{n}") for n in steps],
+        *[(F.coalesce(f"_before__t_{n}", F.lit(0.0)) + F.col(f"_m_{n}")).alias(f"_low_{n}") for n in steps],
     )
-    carry = carry.select(
+    carry = _running(carry, series, {f"_low_{n}": F.min for n in steps}).select(
         *series, "_chunk",
-        *[
-            (
-                F.col(f"_b_{n}")
-                - F.least(
-                    F.lit(0.0),
-                    F.coalesce(F.min(F.col(f"_b_{n}") + F.col(f"_m_{n}")).over(earlier), F.lit(0.0)),
-                )
-            ).alias(f"_w_{n}")
-            for n in steps
-        ],
+        *[(F.col(f"_b_{n}") - F.least(F.lit(0.0), F.coalesce(f"_before__low_{n}", F.lit(0.0)))).alias(f"_w_{n}") for n in steps],
     )
     rows = attach(rows, carry, [*series, "_chunk"])
     rows = rows.select(
@@ -333,13 +334,12 @@ def decayed_sums(
 def quantiles(df: DataFrame, by: str | Sequence[str] | None, value: str, qs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group: ``(by…, q array<double>)``.
 
-    Proven-small inputs use ``percentile``.  Others are counted per value, ranked
-    by the distributed index and the wanted ranks are picked by running counts.
+    Rows are counted per value first (a hot value is one row), the values ranked by
+    the distributed index and the wanted ranks picked by running counts.  A group
+    without values has no row; ungrouped, an empty input gives an empty ``q``.
     """
     by, qs = names(by), [float(q) for q in qs]
     data = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if fits(data):
-        return data.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(q) for q in qs])).alias("q"))
     counts = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranked = prefix_sums(order_index(counts, by, "_v"), by, {"_upto": F.col("_c")})
     totals = ranked.groupBy(*by).agg(F.max("_upto").alias("_n"))
@@ -370,7 +370,7 @@ def quantiles(df: DataFrame, by: str | Sequence[str] | None, value: str, qs: Seq
 
 def medians(df: DataFrame, by: str | Sequence[str] | None, value: str, out: str) -> DataFrame:
     by = names(by)
-    return quantiles(df, by, value, [0.5]).select(*by, F.col("q")[0].alias(out))
+    return quantiles(df, by, value, [0.5]).select(*by, F.get("q", F.lit(0)).alias(out))
 
 
 def average_ranks(df: DataFrame, by: str | Sequence[str] | None, value: str, out: str, ascending: bool = True) -> DataFrame:

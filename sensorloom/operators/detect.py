@@ -64,10 +64,11 @@ def mad(df: DataFrame, series, value: str, threshold: float = 3.5) -> DataFrame:
 def local_maxima(df: DataFrame, series, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``(series…, idx, height)`` of rises followed by falls; a plateau counts at its middle."""
     by = names(series)
-    rows = framed(
-        df.where(F.col(value).isNotNull()).select(*by, IDX, value), by,
-        lambda w: {"_prev": F.lag(value).over(w), "_next": F.lead(value).over(w)}, 1, 1, chunk_rows,
-    )
+    # neighbours are the nearest known values, however many nulls (and chunk borders) lie between
+    rows = df.select(*by, IDX, value, F.col(value).alias("_prev"), F.col(value).alias("_next"))
+    rows = carry_fill(rows, by, {"_prev": "_prev"}, chunk_rows=chunk_rows, exclusive=True)
+    rows = carry_fill(rows, by, {"_next": "_next"}, backward=True, chunk_rows=chunk_rows, exclusive=True)
+    rows = rows.where(F.col(value).isNotNull())
     begins = F.col("_prev").isNull() | (F.col("_prev") != F.col(value))
     rows = rows.withColumn("_run", F.when(begins, F.struct(F.col(IDX).alias("at"), F.col("_prev").alias("prev"))))
     rows = carry_fill(rows, by, {"_run": "_run"}, chunk_rows=chunk_rows)

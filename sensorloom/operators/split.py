@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.kernels import IDX, attach_stats, fits, names
+from sensorloom.kernels import IDX, attach_stats, names
 
 
 def with_total(df: DataFrame, series: str | Sequence[str] | None, out: str = "n_rows") -> DataFrame:
@@ -86,19 +86,18 @@ def hash_order(key: str | Sequence[str], seed: int = 42) -> Column:
 def hash_sample(df: DataFrame, key: str | Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, the same ones for the same keys and seed.
 
-    On large inputs a 65 536-bucket histogram of the hash first finds where the
-    n-th row lies, so only about ``n`` rows are ever sorted.
+    A 65 536-bucket histogram of the hash first finds where the n-th row lies, so
+    only about ``n`` rows are ever sorted.
     """
     rows = df.withColumn("_h", hash_order(key, seed))
-    if not fits(df):
-        buckets = rows.groupBy(F.substring("_h", 1, 4).alias("_b")).count().collect()
-        taken, last = 0, "ffff"
-        for bucket, count in sorted((r[0], r[1]) for r in buckets):
-            taken += count
-            if taken >= n:
-                last = bucket
-                break
-        rows = rows.where(F.substring("_h", 1, 4) <= last)
+    buckets = rows.groupBy(F.substring("_h", 1, 4).alias("_b")).count().collect()
+    taken, last = 0, "ffff"
+    for bucket, count in sorted((r[0], r[1]) for r in buckets):
+        taken += count
+        if taken >= n:
+            last = bucket
+            break
+    rows = rows.where(F.substring("_h", 1, 4) <= last)
     return rows.orderBy("_h").limit(n).drop("_h")
 
 

@@ -69,7 +69,7 @@ def make_detector(name: str, columns: Sequence[str], key: Sequence[str]) -> outl
         "mahalanobis": lambda: outliers.Mahalanobis(columns),
         "isolation_forest": lambda: outliers.IsolationForest(columns, key),
         "one_class": lambda: outliers.OneClassBoundary(columns),
-        "lof": lambda: outliers.LocalOutlierFactor(columns, key[0]),
+        "lof": lambda: outliers.LocalOutlierFactor(columns),
         "elliptic": lambda: outliers.RobustEnvelope(columns),
     }
     return builders[name]()
@@ -80,7 +80,7 @@ MODELS = ("mahalanobis", "isolation_forest", "one_class", "lof", "elliptic")
 
 def sweep(
     train: DataFrame, anomalous: DataFrame, normal: DataFrame, columns: Sequence[str], key: Sequence[str],
-    models: Sequence[str] = MODELS, adapters: Sequence[str] = tuple(scale.ADAPTERS), slack: float = 0.0,
+    models: Sequence[str] = MODELS, adapters: Sequence[str] = tuple(scale.ADAPTERS),
 ) -> DataFrame:
     """Every detector under every adapter, one row of confusion counts and rates each.
 
@@ -89,16 +89,16 @@ def sweep(
     spark, results = train.sparkSession, None
     kept = [*key, *columns]
     for adapter_name in adapters:
-        adapter = scale.ADAPTERS[adapter_name](columns).fit(train.select(*kept))
-        fitted, bad, good = (adapter.transform(d.select(*kept)) for d in (train, anomalous, normal))
         for model_name in models:
             tag = [F.lit(model_name).alias("model"), F.lit(adapter_name).alias("adapter")]
             try:
+                adapter = scale.ADAPTERS[adapter_name](columns).fit(train.select(*kept))
+                fitted, bad, good = (adapter.transform(d.select(*kept)) for d in (train, anomalous, normal))
                 model = make_detector(model_name, columns, key).fit(fitted)
-                model.threshold += slack
                 flagged = model.predict(bad).select("anomaly", F.lit(True).alias("truth")).unionByName(
                     model.predict(good).select("anomaly", F.lit(False).alias("truth")))
                 row = detect.evaluate_binary(flagged, "anomaly", "truth").select(*tag, "*", F.lit(None).cast("string").alias("error"))
+                row = settle(row)  # here, so that a failure while scoring is this configuration's too
             except Exception as error:  # noqa: BLE001 - one failing configuration must not stop the others
                 message = f"{type(error).__name__}: {str(error)[:200]}"
                 counts = [F.lit(None).cast("bigint").alias(c) for c in ("tp", "fn", "tn", "fp")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +35,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the workers, for clusters (or working folders) that have not installed it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="sensorloom-ship-"), "sensorloom"), "zip", root, "sensorloom")
+    spark.sparkContext.addPyFile(made)
     return spark
 
 

@@ -14,11 +14,3 @@ def spark():
     session = local_session("8", 8)
     yield session
     session.stop()
-
-
-@pytest.fixture(params=["small", "spread"])
-def both_paths(request, spark):
-    """Run a test on the small-input path and on the distributed path."""
-    spark.conf.set("sensorloom.small.rows", "1000000" if request.param == "small" else "0")
-    yield request.param
-    spark.conf.unset("sensorloom.small.rows")

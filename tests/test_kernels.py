@@ -23,7 +23,7 @@ def _expect(pdf, fn):
     return {s: fn(g.sort_values("t")) for s, g in pdf.groupby("s")}
 
 
-def test_order_index(frame, both_paths):
+def test_order_index(frame):
     pdf, df = frame
     got = K.order_index(df, "s", "t").toPandas()
     for s, g in got.groupby("s"):
@@ -32,8 +32,9 @@ def test_order_index(frame, both_paths):
     assert (whole["t"] == whole["idx"]).all()
 
 
-@pytest.mark.parametrize("chunk", [7, 64, 100000])
-def test_scans_equal_loops(frame, chunk):
+@pytest.mark.parametrize(("chunk", "supers"), [(7, 3), (7, 10_000), (64, 1), (100000, 10_000)])
+def test_scans_equal_loops(frame, chunk, supers, monkeypatch):
+    monkeypatch.setattr(K, "SUPER_CHUNKS", supers)
     pdf, df = frame
     rows = K.order_index(df, "s", "t")
     out = K.prefix_sums(rows, "s", {"p": F.coalesce("x", F.lit(0.0))}, chunk)
@@ -60,7 +61,7 @@ def test_scans_equal_loops(frame, chunk):
         assert np.allclose(g["ld"], x.shift(-2), equal_nan=True)
 
 
-def test_quantiles_and_ranks(frame, both_paths):
+def test_quantiles_and_ranks(frame):
     pdf, df = frame
     got = {r["s"]: r["q"] for r in K.quantiles(df, "s", "x", [0, 0.05, 0.5, 0.77, 1]).collect()}
     for s, g in pdf.groupby("s"):
@@ -68,3 +69,19 @@ def test_quantiles_and_ranks(frame, both_paths):
     ranks = K.average_ranks(df.where("x is not null"), "s", "x", "r").toPandas()
     for s, g in ranks.groupby("s"):
         assert np.allclose(g["r"], g["x"].rank())
+
+
+def test_exclusive_fill(frame):
+    pdf, df = frame
+    rows = K.order_index(df, "s", "t").select("s", "t", "idx", "x", F.col("x").alias("before"), F.col("x").alias("behind"))
+    rows = K.carry_fill(rows, "s", {"before": "before"}, chunk_rows=5, exclusive=True)
+    rows = K.carry_fill(rows, "s", {"behind": "behind"}, backward=True, chunk_rows=5, exclusive=True)
+    for _, g in rows.toPandas().sort_values(["s", "t"]).groupby("s"):
+        assert np.allclose(g["before"], g["x"].ffill().shift(1), equal_nan=True)
+        assert np.allclose(g["behind"], g["x"].bfill().shift(-1), equal_nan=True)
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "s string, x double")
+    assert K.quantiles(none, "s", "x", [0.5]).collect() == []
+    assert K.medians(none, None, "x", "m").collect()[0]["m"] is None

@@ -52,6 +52,16 @@ def test_peaks_on_plateaus_and_chunks(spark):
         assert prom == {2: 3, 5: 1, 7: 1, 9: 6, 11: 1}
 
 
+@pytest.mark.parametrize("chunk", [2, 3, 4, 5, 100])
+def test_peaks_with_nulls_at_chunk_borders(spark, chunk):
+    values = [1.0, 2.0, 1.0, None, 5.0, 1.0, 3.0, 1.0, None, None, 4.0, None, 2.0]
+    df = spark.createDataFrame([("x", i, v) for i, v in enumerate(values)], "s string, idx long, v double")
+    assert {r["idx"] for r in detect.local_maxima(df, "s", "v", chunk).collect()} == {1, 4, 6, 10}
+    limits = frame(spark, s=["x"], height_threshold=[0.0], prominence_threshold=[0.0])
+    prom = {r["idx"]: r["prominence"] for r in detect.peaks_above(df, "s", "v", limits, chunk).collect()}
+    assert prom == {1: 1, 4: 4, 6: 2, 10: 2}
+
+
 def test_scalers_round_trip(spark):
     rng = np.random.default_rng(1)
     df = frame(spark, id=np.arange(200), a=rng.normal(5, 2, 200), b=rng.exponential(3, 200), c=np.ones(200))
@@ -185,3 +195,13 @@ def test_metrics_modes(spark):
     assert skip["mape"] == pytest.approx((0 + 0.5 + 0.25) / 3 * 100) and skip["r2"] == pytest.approx(1 - 2.25 / 8.75)
     with pytest.raises(ValueError):
         metrics.forecast_metrics(df, mape_mode="other")
+
+
+def test_lof_rows_with_one_key(spark):
+    """Rows that share a key keep neighbours and scores of their own."""
+    rng = np.random.default_rng(9)
+    df = frame(spark, key=np.arange(60) // 3, a=rng.normal(size=60), b=rng.normal(size=60))
+    points = df.select(F.monotonically_increasing_id().alias("id"), F.array("a", "b").alias("vec"))
+    want = sorted(r["lof"] for r in neighbours.lof(points, 5, points).collect())
+    model = outliers.LocalOutlierFactor(["a", "b"], k=5).fit(df)
+    assert np.allclose(sorted(r["score"] for r in model.score(df).collect()), want)

@@ -22,9 +22,7 @@ def plan(df):
 
 @pytest.fixture
 def spread(spark):
-    spark.conf.set("sensorloom.small.rows", "0")
-    yield order_index(events(spark, SF), "event_type", ["ts", "event_id"])
-    spark.conf.unset("sensorloom.small.rows")
+    return order_index(events(spark, SF), "event_type", ["ts", "event_id"])
 
 
 def test_long_series_windows_run_on_chunks(spread):
