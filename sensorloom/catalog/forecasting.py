@@ -193,8 +193,8 @@ def parameter_search(spark, sf):
     rows, inputs = _tree_rows(spark, sf)
     rows = split.split_chronological(rows, "event_type", (0.8, 0.0, 0.2))
     found = forecast.grid_search(
-        rows.where("split = 'train'"), rows.where("split <> 'train'"), inputs[:8], "value_t1",
-        {"maxDepth": [2, 3], "numTrees": [3, 6]}, "random_forest", max_configs=3)
+        rows.where("split = 'train'"), rows.where("split <> 'train'"), inputs, "value_t1",
+        {"maxDepth": [2, 3], "numTrees": [3, 6]}, "random_forest")
     return spark.createDataFrame(found)
 
 

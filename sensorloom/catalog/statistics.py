@@ -41,16 +41,15 @@ def strong_correlations(spark, sf):
     return rounded(stats.correlations(rows, ["quantity", "price", "charge", "tax"], 0.7))
 
 
-PAIRS = [("quantity", "quantity"), ("quantity", "price"), ("price", "quantity"), ("price", "price")]
+PAIRS = [(a, b) for a in FEATURES for b in FEATURES]
 
 SIM = f"""{LI}, k AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM li WHERE domain IN ('N', 'A') GROUP BY domain)),
-zz AS (SELECT domain, idx, (quantity - avg(quantity) OVER d) / stddev_pop(quantity) OVER d AS quantity, (price - avg(price) OVER d) / stddev_pop(price) OVER d AS price
+zz AS (SELECT domain, idx, {', '.join(f'({c} - avg({c}) OVER d) / stddev_pop({c}) OVER d AS {c}' for c in FEATURES)}
   FROM li WHERE domain IN ('N', 'A') WINDOW d AS (PARTITION BY domain)),
 z AS (SELECT zz.* FROM zz, k WHERE idx < n),
-r AS (SELECT domain, idx, rank() OVER (PARTITION BY domain ORDER BY quantity) + (count(*) OVER (PARTITION BY domain, quantity) - 1) / 2.0 AS quantity,
-  rank() OVER (PARTITION BY domain ORDER BY price) + (count(*) OVER (PARTITION BY domain, price) - 1) / 2.0 AS price FROM z),
-l AS (SELECT domain, 'quantity' AS f, idx, quantity AS z FROM z UNION ALL SELECT domain, 'price', idx, price FROM z),
-lr AS (SELECT domain, 'quantity' AS f, idx, quantity AS z FROM r UNION ALL SELECT domain, 'price', idx, price FROM r),
+r AS (SELECT domain, idx, {', '.join(f'rank() OVER (PARTITION BY domain ORDER BY {c}) + (count(*) OVER (PARTITION BY domain, {c}) - 1) / 2.0 AS {c}' for c in FEATURES)} FROM z),
+l AS ({' UNION ALL '.join(f"SELECT domain, '{c}' AS f, idx, {c} AS z FROM z" for c in FEATURES)}),
+lr AS ({' UNION ALL '.join(f"SELECT domain, '{c}' AS f, idx, {c} AS z FROM r" for c in FEATURES)}),
 pe AS (SELECT a.f AS lab_feature, b.f AS field_feature, abs(corr(a.z, b.z)) AS pearson_corr FROM l a JOIN l b ON a.idx = b.idx AND a.domain = 'N' AND b.domain = 'A' GROUP BY 1, 2),
 sp AS (SELECT a.f AS lab_feature, b.f AS field_feature, abs(corr(a.z, b.z)) AS spearman_corr FROM lr a JOIN lr b ON a.idx = b.idx AND a.domain = 'N' AND b.domain = 'A' GROUP BY 1, 2),
 pr AS (SELECT a.f AS lab_feature, b.f AS field_feature FROM (SELECT DISTINCT f FROM l) a, (SELECT DISTINCT f FROM l) b),
@@ -59,7 +58,7 @@ un AS (SELECT lab_feature, field_feature, z, 1 AS a, 0 AS b FROM pr JOIN l ON l.
 cu AS (SELECT lab_feature, field_feature, sum(a) OVER w / sum(a) OVER p AS fa, sum(b) OVER w / sum(b) OVER p AS fb FROM un
   WINDOW w AS (PARTITION BY lab_feature, field_feature ORDER BY z RANGE UNBOUNDED PRECEDING), p AS (PARTITION BY lab_feature, field_feature)),
 ks AS (SELECT lab_feature, field_feature, max(abs(fa - fb)) AS ks_statistic FROM cu GROUP BY 1, 2),
-hb AS (SELECT domain, f, least(floor((z - lo) / ((hi - lo) / 50)), 49) AS bin, count(*) AS c FROM (SELECT *, min(z) OVER (PARTITION BY domain, f) AS lo, max(z) OVER (PARTITION BY domain, f) AS hi FROM l) GROUP BY 1, 2, 3),
+hb AS (SELECT domain, f, least(floor(round((z - lo) / ((hi - lo) / 50), 9)), 49) AS bin, count(*) AS c FROM (SELECT *, min(z) OVER (PARTITION BY domain, f) AS lo, max(z) OVER (PARTITION BY domain, f) AS hi FROM l) GROUP BY 1, 2, 3),
 nm AS (SELECT domain, f, sqrt(sum(c * c)) AS s FROM hb GROUP BY 1, 2),
 hc AS (SELECT pr.*, coalesce((SELECT sum(x.c * y.c) FROM hb x JOIN hb y ON x.bin = y.bin AND x.domain = 'N' AND y.domain = 'A' AND x.f = lab_feature AND y.f = field_feature), 0) /
   ((SELECT s FROM nm WHERE domain = 'N' AND f = lab_feature) * (SELECT s FROM nm WHERE domain = 'A' AND f = field_feature)) AS histogram_cosine FROM pr),
@@ -110,7 +109,7 @@ def autocorrelation(spark, sf):
 
 @query("partial_autocorrelation")
 def partial_autocorrelation(spark, sf):
-    return stats.pacf(indexed_events(spark, sf), "event_type", "value", 20)
+    return stats.pacf(indexed_events(spark, sf), "event_type", "value", 50)
 
 
 @query("unit_root_test")
@@ -167,4 +166,4 @@ def normal_quantile_points(spark, sf):
 
 @query("exploration")
 def exploration(spark, sf):
-    return stats.explore(indexed_events(spark, sf), "event_type", "value", 2, 5, 20)
+    return stats.explore(indexed_events(spark, sf), "event_type", "value", 10, 30, 50)

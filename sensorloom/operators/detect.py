@@ -252,23 +252,28 @@ def any_flag(columns: Sequence[str] = FLAGS) -> Column:
 def analyze(df: DataFrame, series, value: str, **config) -> DataFrame:
     """All five point detectors and their union on every series.
 
-    The thresholds are learned from the series first, in passes that read only
-    the value, and then applied in one pass.
+    Features are computed and written once; thresholds are learned from them and applied to them.
     """
-    from sensorloom.operators.thresholds import apply_point
+    from sensorloom.operators.thresholds import flag_points, point_features
 
-    return apply_point(df, point_thresholds(df, series, value, **config), series, value, **config)
+    rows = settle(point_features(df, series, value, **config))
+    return flag_points(rows, _learned(rows, series, value, **config), series, value)
 
 
 def point_thresholds(df: DataFrame, series, value: str, **config) -> DataFrame:
     """What :func:`analyze` learned, one row per series, to apply to other data."""
+    from sensorloom.operators.thresholds import point_features
+
+    by = names(series)
+    return _learned(point_features(df.select(*by, IDX, value), series, value, **config), series, value, **config)
+
+
+def _learned(rows: DataFrame, series, value: str, **config) -> DataFrame:
     c, by = DEFAULTS | config, names(series)
-    sloped = slopes(df.select(*by, IDX, value), by, value, c["trend_window"])
-    smooth = ewma(df.select(*by, IDX, value), by, value, c["ewma_alpha"])
-    out = slope_params(sloped, by, c["trend_sigma"])
-    out = attach(out, peak_params(df, by, value, c["height_sigma"], c["prominence_factor"]), by)
-    out = attach(out, mad_params(df, by, value), by)
-    out = attach(out, baseline(smooth, by, "ewma", c["baseline_samples"]), by)
+    out = slope_params(rows, by, c["trend_sigma"])
+    out = attach(out, peak_params(rows, by, value, c["height_sigma"], c["prominence_factor"]), by)
+    out = attach(out, mad_params(rows, by, value), by)
+    out = attach(out, baseline(rows, by, "ewma", c["baseline_samples"]), by)
     return out.withColumn("z_k", F.lit(c["z_threshold"])).withColumn("mad_k", F.lit(c["mad_threshold"]))
 
 

@@ -456,7 +456,7 @@ class TargetTrees:
 
 def grid_search(
     train: DataFrame, test: DataFrame, inputs: Sequence[str], target: str, grid: dict[str, Sequence], kind: str = "boosting",
-    max_configs: int | None = 10, metric: str = "r2", seed: int = 42,
+    max_configs: int | None = None, metric: str = "r2", seed: int = 42,
 ) -> list[dict]:
     """Fit every configuration (or a random ``max_configs`` of them) on an explicit time split, best first."""
     combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]

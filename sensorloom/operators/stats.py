@@ -319,83 +319,80 @@ def explore(df: DataFrame, series, value: str, every: int = 10, max_lag: int = 3
 # --------------------------------------------------------------------- similarity
 
 
-def _standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    long = df.select(IDX, *columns).unpivot([IDX], list(columns), "feature", "value").where(F.col("value").isNotNull())
-    stats = long.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    rows = attach_stats(long, stats, "feature")
-    return rows.select(IDX, "feature", F.coalesce(F.try_divide(F.col("value") - F.col("_m"), F.col("_s")), F.lit(0.0)).alias("z"))
-
-
 def similarity(lab: DataFrame, field: DataFrame, pairs: Sequence[tuple[str, str]], bins: int = 50) -> DataFrame:
     """Five similarity measures and their weighted score for each (lab column, field column) pair.
 
     Both tables are indexed; columns are standardised on their own data and cut
-    to the shorter table.  All pairs are measured in shared passes.
+    to the shorter table.  Both sides stand side by side in one wide table, written once; correlations and
+    moments of all pairs come from one pass over it.  Ranks and cumulative shares come from the counts of distinct
+    values, not from rows.  Only a few numbers per column and pair reach the driver.
     """
-    n = min(d.agg(F.count(F.lit(1))).first()[0] for d in (lab, field))
-    sides = {}
-    for side, df, at in (("a", lab, 0), ("b", field, 1)):
-        columns = sorted({p[at] for p in pairs})
-        sides[side] = (settle(_standardised(df, columns).where(F.col(IDX) < n)), columns)
-
-    def wide(side: str, value: str, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(IDX).pivot("feature", sides[side][1]).agg(F.max(value)).select(
-            IDX, *[F.col(c).alias(f"{side}_{c}") for c in sides[side][1]])
-
-    def pair_array(measure) -> Column:
-        return F.array(*[F.struct(F.lit(a).alias("lab_feature"), F.lit(b).alias("field_feature"), measure(f"a_{a}", f"b_{b}").alias("v")) for a, b in pairs])
-
-    def measured(df: DataFrame, name: str, measure) -> DataFrame:
-        return df.agg(pair_array(measure).alias("p")).select(F.explode("p").alias("p")).select("p.lab_feature", "p.field_feature", F.col("p.v").alias(name))
-
-    key = ["lab_feature", "field_feature"]
-    values = attach(wide("a", "z", sides["a"][0]), wide("b", "z", sides["b"][0]), IDX)
-    out = measured(values, "r", lambda a, b: F.corr(a, b))
-    out = out.withColumn("pearson_corr", F.abs("r")).withColumn("pearson_p", _pearson_p("r", F.lit(n))).drop("r")
-
-    ranks = {s: average_ranks(sides[s][0], "feature", "z", "rank") for s in "ab"}
-    ranked = attach(wide("a", "rank", ranks["a"]), wide("b", "rank", ranks["b"]), IDX)
-    out = attach(out, measured(ranked, "spearman_corr", lambda a, b: F.abs(F.corr(a, b))), key)
+    spark = lab.sparkSession
+    columns = {s: sorted({p[at] for p in pairs}) for at, s in enumerate("ab")}
+    means = {
+        s: df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in columns[s] for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        for s, df in (("a", lab), ("b", field))
+    }
+    n = min(m["n"] for m in means.values())
+
+    def standardised(side: str, df: DataFrame) -> DataFrame:
+        out = []
+        for c in columns[side]:
+            mean, spread = means[side][f"m_{c}"], means[side][f"s_{c}"]
+            z = (F.col(c) - F.lit(mean)) / F.lit(spread) if spread else F.lit(0.0)
+            out.append(F.when(F.col(c).isNotNull(), z).alias(f"{side}_{c}"))
+        return df.where(F.col(IDX) < n).select(IDX, *out)
+
+    wide = settle(attach(standardised("a", lab), standardised("b", field), IDX))
+    every = [f"{s}_{c}" for s in "ab" for c in columns[s]]
+    shape = {"m": F.avg, "sd": F.stddev_pop, "k3": F.skewness, "k4": F.kurtosis, "lo": F.min, "hi": F.max}
+    row = wide.agg(
+        *[f(c).alias(f"{k}|{c}") for c in every for k, f in shape.items()], *[F.corr(f"a_{a}", f"b_{b}").alias(f"r|{a}|{b}") for a, b in pairs]
+    ).first()
+
+    def slot(c: str) -> Column:
+        width = ((row[f"hi|{c}"] or 0.0) - (row[f"lo|{c}"] or 0.0)) / bins
+        # a value on a border, to nine digits, is in the bin above
+        place = F.least(F.floor(F.round((F.col(c) - F.lit(row[f"lo|{c}"])) / F.lit(width), 9)), F.lit(bins - 1)) if width > 0 else F.lit(0)
+        return F.struct(F.lit(c).alias("c"), F.when(F.col(c).isNotNull(), place.cast("int")).alias("bin"))
+
+    bars: dict[str, dict[int, int]] = {c: {} for c in every}
+    for r in wide.select(F.explode(F.array(*map(slot, every))).alias("x")).groupBy("x.c", "x.bin").count().where("bin IS NOT NULL").collect():
+        bars[r["c"]][r["bin"]] = r["count"]
+
+    long = wide.unpivot([IDX], every, "name", "z").where(F.col("z").isNotNull())
+    counts = settle(long.groupBy("name", "z").agg(F.count(F.lit(1)).alias("c")))
+    ranked = prefix_sums(order_index(counts, "name", "z"), "name", {"upto": F.col("c")}).select("name", "z", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
+    ranks = long.join(ranked, ["name", "z"]).groupBy(IDX).pivot("name", every).agg(F.max("rank"))
+    rho = ranks.agg(*[F.corr(f"a_{a}", f"b_{b}").alias(f"r|{a}|{b}") for a, b in pairs]).first()
+
+    uses = {c: [] for c in every}
+    for a, b in pairs:
+        uses[f"a_{a}"].append((f"{a}|{b}", 1, 0))
+        uses[f"b_{b}"].append((f"{a}|{b}", 0, 1))
+    uses = F.create_map(*[x for c, us in uses.items() for x in (F.lit(c), F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(i).alias("i"), F.lit(j).alias("j")) for p, i, j in us]))])
+    steps = counts.select(F.explode(F.element_at(uses, F.col("name"))).alias("u"), "z", "c")
+    steps = steps.groupBy("u.pair", "z").agg(F.sum(F.col("u.i") * F.col("c")).alias("ca"), F.sum(F.col("u.j") * F.col("c")).alias("cb"))
+    steps = prefix_sums(order_index(steps, "pair", "z"), "pair", {"ua": F.col("ca"), "ub": F.col("cb")})
+    gaps = {r["pair"]: r["d"] for r in steps.groupBy("pair").agg((F.max(F.abs(F.col("ua") - F.col("ub"))) / n).alias("d")).collect()}
 
-    partner = {s: {} for s in "ab"}
+    out = []
     for a, b in pairs:
-        partner["a"].setdefault(a, []).append((a, b))
-        partner["b"].setdefault(b, []).append((a, b))
-    counts = None
-    for side in "ab":
-        table = F.create_map(*[x for f, ps in partner[side].items() for x in (
-            F.lit(f), F.array(*[F.struct(F.lit(a).alias("lab_feature"), F.lit(b).alias("field_feature")) for a, b in ps]))])
-        own = sides[side][0].groupBy("feature", "z").agg(F.count(F.lit(1)).alias("c"))
-        own = own.select(F.explode(F.element_at(table, F.col("feature"))).alias("p"), "z", "c").select(
-            "p.*", "z", (F.col("c") if side == "a" else F.lit(0)).alias("ca"), (F.col("c") if side == "b" else F.lit(0)).alias("cb"))
-        counts = own if counts is None else counts.unionByName(own)
-    counts = counts.groupBy(*key, "z").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    steps = prefix_sums(order_index(counts, key, "z"), key, {"ua": F.col("ca"), "ub": F.col("cb")})
-    gaps = steps.groupBy(*key).agg(F.max(F.abs(F.col("ua") - F.col("ub")) / n).alias("ks_statistic"))
-    out = attach(out, gaps.withColumn("ks_similarity", 1 - F.col("ks_statistic")), key)
-
-    bars = {}
-    for side in "ab":
-        h = histogram(sides[side][0], "feature", "z", bins)
-        bars[side] = settle(h.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.col("n").cast("double")))).alias("h")))
-    listed = out.select(*key)
-    both = listed.join(bars["a"].select(F.col("feature").alias("lab_feature"), F.col("h").alias("ha")), "lab_feature").join(
-        bars["b"].select(F.col("feature").alias("field_feature"), F.col("h").alias("hb")), "field_feature")
-    square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, v: acc + v * v)
-    dot = F.aggregate(F.map_entries("ha"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("hb"), e["key"]), F.lit(0.0)))
-    out = attach(out, both.select(*key, (dot / F.sqrt(square("ha") * square("hb"))).alias("histogram_cosine")), key)
-
-    moments = {s: settle(sides[s][0].groupBy("feature").agg(
-        F.avg("z").alias("m"), F.stddev_pop("z").alias("s"), F.skewness("z").alias("k3"), F.kurtosis("z").alias("k4"))) for s in "ab"}
-    a = moments["a"].select(F.col("feature").alias("lab_feature"), *[F.col(c).alias(f"a_{c}") for c in ("m", "s", "k3", "k4")])
-    b = moments["b"].select(F.col("feature").alias("field_feature"), *[F.col(c).alias(f"b_{c}") for c in ("m", "s", "k3", "k4")])
-    gap = lambda c: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))
-    distance = gap("m") + gap("s") + gap("k3") / 10 + gap("k4") / 100
-    far = listed.join(a, "lab_feature").join(b, "field_feature").select(*key, (1 / (1 + distance)).alias("moments_similarity"))
-    out = attach(out, far, key)
+        left, right = bars[f"a_{a}"], bars[f"b_{b}"]
+        size = math.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
+        cosine = sum(v * right.get(k, 0) for k, v in left.items()) / size if size else None
+        differ = lambda k: None if None in (x := (row[f"{k}|a_{a}"], row[f"{k}|b_{b}"])) else abs(x[0] - x[1])  # noqa: B023, E731
+        parts = [differ("m"), differ("sd"), differ("k3"), differ("k4")]
+        moments = None if None in parts else 1 / (1 + parts[0] + parts[1] + parts[2] / 10 + parts[3] / 100)
+        out.append((a, b, row[f"r|{a}|{b}"], rho[f"r|{a}|{b}"], gaps.get(f"{a}|{b}"), cosine, moments))
+    table = spark.createDataFrame(out, "lab_feature string, field_feature string, r double, rho double, ks_statistic double, histogram_cosine double, moments_similarity double")
+    table = table.select(
+        "lab_feature", "field_feature", F.abs("r").alias("pearson_corr"), _pearson_p("r", F.lit(n)).alias("pearson_p"), F.abs("rho").alias("spearman_corr"),
+        "ks_statistic", (1 - F.col("ks_statistic")).alias("ks_similarity"), "histogram_cosine", "moments_similarity",
+    )
     score = (0.3 * F.col("pearson_corr") + 0.2 * F.col("spearman_corr") + 0.2 * F.col("ks_similarity")
              + 0.15 * F.col("histogram_cosine") + 0.15 * F.col("moments_similarity"))
-    return out.withColumn("overall_score", score)
+    return table.withColumn("overall_score", score)
 
 
 def best_mapping(scores: DataFrame) -> DataFrame:

@@ -139,38 +139,48 @@ def combine_weighted(parts: Sequence[tuple[DataFrame, float]], feature: str = "f
     return stacked.groupBy(feature).agg(*[(F.sum(F.col(c) * F.col("_w")) / F.sum(known(c))).alias(c) for c in columns])
 
 
-def apply_point(df: DataFrame, thresholds: DataFrame, series, value: str, **config) -> DataFrame:
-    """Stored point thresholds (see ``detect.point_thresholds``) on new data.
-
-    Tables without ``slope_lower`` only bound the slope from above.
-    """
+def point_features(df: DataFrame, series, value: str, **config) -> DataFrame:
+    """Rows with ``zscore``, ``roll_avg``, ``slope`` and ``ewma``: what point thresholds are learned from and applied to."""
     c, by = detect.DEFAULTS | config, names(series)
-    kept = [n for n in thresholds.columns if n not in by]
-    if "slope_lower" not in kept:
-        thresholds = thresholds.withColumn("slope_lower", F.lit(None).cast("double"))
-        kept.append("slope_lower")
-    thresholds = settle(thresholds)
-    limits = thresholds.select(*by, *[F.col(n).alias(f"_th_{n}") for n in kept])
-    tops = detect.peaks_above(df.select(*by, IDX, value), by, value, thresholds.select(*by, "height_threshold", "prominence_threshold"))
-    rows = attach(df, tops.select(*by, IDX, "prominence"), [*by, IDX], "left").withColumn("peak", F.col("prominence").isNotNull())
-    rows = attach(rows, limits, by)
     z_window, trend_window = c["z_window"], c["trend_window"]
     rows = framed(
-        rows, by,
+        df, by,
         lambda w: [
             rolling_exprs(w, value, z_window, {"_m": "mean", "_s": "std"}) | rolling_exprs(w, value, trend_window, {"roll_avg": "mean"}),
             {"slope": F.col("roll_avg") - F.lag("roll_avg").over(w)},
         ],
         max(z_window - 1, trend_window),
     )
+    rows = rows.withColumn("zscore", F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+    return detect.ewma(rows, by, value, c["ewma_alpha"])
+
+
+def flag_points(rows: DataFrame, thresholds: DataFrame, series, value: str) -> DataFrame:
+    """The five point flags and their union on rows with ``point_features``."""
+    by = names(series)
+    kept = [n for n in thresholds.columns if n not in by]
+    if "slope_lower" not in kept:
+        thresholds = thresholds.withColumn("slope_lower", F.lit(None).cast("double"))
+        kept.append("slope_lower")
+    thresholds = settle(thresholds)
+    limits = thresholds.select(*by, *[F.col(n).alias(f"_th_{n}") for n in kept])
+    tops = detect.peaks_above(rows.select(*by, IDX, value), by, value, thresholds.select(*by, "height_threshold", "prominence_threshold"))
+    rows = attach(rows, tops.select(*by, IDX, "prominence"), [*by, IDX], "left").withColumn("peak", F.col("prominence").isNotNull())
+    rows = attach(rows, limits, by)
     low, high = F.col("_th_slope_lower"), F.col("_th_slope_upper")
     rows = rows.withColumn("trend_anom", detect.flag((F.col("slope") > high) | (low.isNotNull() & (F.col("slope") < low))))
-    rows = rows.withColumn("zscore", F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
     rows = rows.withColumn("z_anom", detect.flag(F.abs("zscore") > F.col("_th_z_k")))
     rows = rows.withColumn("median", F.col("_th_median")).withColumn("mad", F.col("_th_mad"))
     rows = detect.mad_flags(rows, value, F.col("_th_mad_k")).drop("median", "mad")
-    rows = detect.ewma(rows, by, value, c["ewma_alpha"])
     rows = detect.cusum(rows, by, "ewma", F.coalesce("_th_mu0", F.lit(0.0)), F.col("_th_h"), F.coalesce("_th_k", F.lit(0.0)))
     rows = rows.withColumn("cusum_alarm", F.col("cusum_alarm") & detect.flag(F.col("_th_sigma0") > 0))
     rows = rows.withColumn("any_anom", detect.any_flag())
     return rows.drop(*[f"_th_{n}" for n in kept])
+
+
+def apply_point(df: DataFrame, thresholds: DataFrame, series, value: str, **config) -> DataFrame:
+    """Stored point thresholds (see ``detect.point_thresholds``) on new data.
+
+    Tables without ``slope_lower`` only bound the slope from above.
+    """
+    return flag_points(point_features(df, series, value, **config), thresholds, series, value)
