@@ -74,10 +74,12 @@ def degree_distribution(spark, sf):
     return graph.degree_distribution(graph.degrees(edges, KEY), KEY)
 
 
-def two_kinds(spark, sf):
+def two_kinds(spark, sf, write: bool = True):
+    """Natural and horizontal edges; written when they are read more than once."""
     rows = indexed_events(spark, sf)
     edges = visibility.natural_visibility(rows, KEY, "value").withColumn("kind", F.lit("natural"))
-    return settle(edges.unionByName(visibility.horizontal_visibility(rows, KEY, "value").withColumn("kind", F.lit("horizontal"))))
+    both = edges.unionByName(visibility.horizontal_visibility(rows, KEY, "value").withColumn("kind", F.lit("horizontal")))
+    return settle(both) if write else both
 
 
 KINDS = f"""{NVG}, {HVG_CTE}, al AS (SELECT 'natural' AS kind, * FROM nv UNION ALL SELECT 'horizontal', * FROM hv),
@@ -216,7 +218,7 @@ WITH {KINDS}, c AS (SELECT kind, src, dst, count(*) AS c FROM al GROUP BY 1, 2,
 SELECT c.kind, count(*) AS distinct_edges, CAST(sum(c) AS BIGINT) AS total_edges, any_value(m) AS layers, round(sum(c) / (any_value(m) * count(*)), 6) AS average_edge_overlap FROM c JOIN l ON l.kind = c.kind GROUP BY 1
 """)
 def average_edge_overlap(spark, sf):
-    return rounded(graph.edge_overlap(two_kinds(spark, sf), KEY, "kind"))
+    return rounded(graph.edge_overlap(two_kinds(spark, sf, write=False), KEY, "kind"))
 
 
 def horizontal_members(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import DAY, EV, FEATURES, LI, daily, events, indexed_events, indexed_lines, lines, query, rounded
@@ -159,9 +161,15 @@ def quantile_pairs(spark, sf):
     return rounded(stats.qq_pair(lines(spark, sf), ["quantity", "price"], [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]), 4)
 
 
-@query("normal_quantile_points")
+PERCENTS = [i / 100 for i in range(1, 100)]
+
+
+@query("normal_quantile_points", f"""
+SELECT event_type, unnest([{', '.join(f'{p}::DOUBLE' for p in PERCENTS)}]) AS p, round(unnest([{', '.join(f'{NormalDist().inv_cdf(p)!r}::DOUBLE' for p in PERCENTS)}]), 6) + 0.0 AS normal,
+  round(unnest(quantile_cont(value, [{', '.join(map(str, PERCENTS))}])), 6) AS sample FROM events GROUP BY event_type
+""")
 def normal_quantile_points(spark, sf):
-    return stats.qq_points(events(spark, sf), "event_type", "value", [i / 100 for i in range(1, 100)])
+    return rounded(stats.qq_points(events(spark, sf), "event_type", "value", PERCENTS))
 
 
 @query("exploration")

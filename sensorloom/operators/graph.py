@@ -69,7 +69,8 @@ def triangles(edges: DataFrame, keys) -> DataFrame:
     """Every triangle once: ``(keys…, a, b, c, w_ab, w_ac, w_bc)``.
 
     Edges point from the lower-degree end, which bounds every out-list by
-    √(2·edges) even at hubs; triangles are intersections of two out-lists.
+    √(2·edges) even at hubs.  Two edges out of one node are a wedge, and an edge between their ends closes it: two
+    equi-joins of plain edge rows.
     """
     by = names(keys)
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
@@ -77,16 +78,14 @@ def triangles(edges: DataFrame, keys) -> DataFrame:
     rows = edges.select(*by, "src", "dst", weight.alias("w"))
     rows = attach(rows, deg.select(*by, F.col("node").alias("src"), F.col("degree").alias("_ds")), [*by, "src"])
     rows = attach(rows, deg.select(*by, F.col("node").alias("dst"), F.col("degree").alias("_dd")), [*by, "dst"])
-    forward = F.struct("_ds", "src") < F.struct(F.col("_dd").alias("_ds"), F.col("dst").alias("src"))
-    rows = settle(rows.select(
-        *by, F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b"), "w"))
-    lists = settle(rows.groupBy(*by, F.col("a").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("_out")))
-    joined = attach(rows, lists.select(*by, F.col("node").alias("a"), F.col("_out").alias("_oa")), [*by, "a"])
-    joined = attach(joined, lists.select(*by, F.col("node").alias("b"), F.col("_out").alias("_ob")), [*by, "b"])
-    closing = F.explode(F.array_intersect(F.map_keys("_oa"), F.map_keys("_ob")))
-    found = joined.withColumn("c", closing)
-    return found.select(
-        *by, "a", "b", "c", F.col("w").alias("w_ab"), F.try_element_at("_oa", F.col("c")).alias("w_ac"), F.try_element_at("_ob", F.col("c")).alias("w_bc"))
+    low = F.struct(F.col("_ds").alias("d"), F.col("src").alias("n"))
+    high = F.struct(F.col("_dd").alias("d"), F.col("dst").alias("n"))
+    out = settle(rows.select(*by, F.least(low, high).alias("a"), F.greatest(low, high).alias("b"), "w"))
+    other = out.select(*by, "a", F.col("b").alias("c"), F.col("w").alias("w_ac"))
+    wedges = attach(out.withColumnRenamed("w", "w_ab"), other, [*by, "a"]).where(F.col("b") < F.col("c"))
+    closing = out.select(*by, F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("w_bc"))
+    found = attach(wedges, closing, [*by, "b", "c"])
+    return found.select(*by, *[F.col(f"{x}.n").alias(x) for x in "abc"], "w_ab", "w_ac", "w_bc")
 
 
 def triangles_at(edges: DataFrame, keys, found: DataFrame | None = None) -> DataFrame:
@@ -342,10 +341,13 @@ def top_nodes_on_series(scores: DataFrame, df: DataFrame, keys, value: str, scor
 def edge_overlap(edges: DataFrame, layer: str, kind: Sequence[str] = ()) -> DataFrame:
     """Average edge overlap over the layers of each kind: Σ occurrences / (layers · distinct edges)."""
     by = names(kind)
-    per = edges.groupBy(*by, F.least("src", "dst").alias("_u"), F.greatest("src", "dst").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    totals = per.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_edges"), F.sum("_c").alias("total_edges"))
-    layers = edges.groupBy(*by, layer).agg(F.lit(1).alias("_1")).groupBy(*by).agg(F.count(F.lit(1)).alias("layers"))
-    out = attach(totals, layers, by)
+    per = edges.groupBy(*by, F.least("src", "dst").alias("_u"), F.greatest("src", "dst").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.array_sort(F.collect_set(layer)).alias("_in"))
+    # edges of the same layers are one row before the layers are put together
+    alike = per.groupBy(*by, "_in").agg(F.count(F.lit(1)).alias("_n"), F.sum("_c").alias("_t"))
+    out = alike.groupBy(*by).agg(
+        F.sum("_n").alias("distinct_edges"), F.sum("_t").alias("total_edges"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("_in")))).cast("bigint").alias("layers"))
     return out.withColumn("average_edge_overlap", F.col("total_edges") / (F.col("layers") * F.col("distinct_edges")))
 
 

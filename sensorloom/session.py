@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -10,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_FOLDERS: set[str] = set()
 
 
 def tuning(name: str, default: int) -> int:
@@ -65,6 +68,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when Python ends, or with :func:`forget`."""
+    app = spark.sparkContext.applicationId
+    path = f"{scratch_dir(spark)}/sensorloom-{app}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete every table written so far by this application; results that still read them can't be used afterwards."""
+    _remove(spark, folder(spark))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -73,6 +98,6 @@ def settle(df: DataFrame) -> DataFrame:
     true size, so it broadcasts the table only when it really is small.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/settled-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -52,3 +52,28 @@ def test_no_cartesian_products(spark, name):
 def test_entry_runs(spark):
     df = entry(spark)
     assert df.columns == ["event_type", "detector", "n_anomalies", "pct"] and df.count() == 30
+
+
+def test_written_tables_can_be_forgotten(spark):
+    import os
+
+    from sensorloom.session import folder, forget, settle
+
+    assert settle(spark.range(5)).count() == 5
+    path = folder(spark).removeprefix("file:")
+    assert os.listdir(path)
+    forget(spark)
+    assert not os.path.exists(path)
+
+
+def test_text_package_is_optional(tmp_path):
+    """Without the text operators' folder and the pipeline the other queries are all there."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 160 and not any(k.startswith('op') and k[2].isdigit() for k in q), len(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True)
