@@ -331,6 +331,29 @@ def decayed_sums(
 # --------------------------------------------------------------------------- K4
 
 
+def running_counts(counts: DataFrame, by: str | Sequence[str] | None, value: str, sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """Running sums of count columns over the distinct values of each group, in order, and the groups' totals.
+
+    ``sums`` maps output to count column, ``totals`` likewise.  The values are range-partitioned and written once; a running sum is the
+    sum inside the value's partition plus that of the partitions before it, of which there are as many as shuffle partitions.
+    """
+    by = names(by)
+    keys = [*by, value]
+    placed = settle(counts.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    used = sorted({*sums.values(), *(totals or {}).values()})
+    parts = placed.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in used])
+    group = Window.partitionBy(*(by or [F.lit(1)]))
+    before = group.orderBy("_part").rowsBetween(_START, -1)
+    parts = parts.select(
+        *by, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sorted(set(sums.values()))],
+        *[F.sum(f"_t_{c}").over(group).alias(out) for out, c in (totals or {}).items()],
+    )
+    upto = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(_START, 0)
+    rows = attach(placed, parts, [*by, "_part"])
+    rows = rows.select("*", *[(F.col(f"_b_{c}") + F.sum(c).over(upto)).alias(out) for out, c in sums.items()])
+    return rows.drop("_part", *[f"_b_{c}" for c in sums.values()])
+
+
 def quantiles(df: DataFrame, by: str | Sequence[str] | None, value: str, qs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group: ``(by…, q array<double>)``.
 
@@ -341,9 +364,7 @@ def quantiles(df: DataFrame, by: str | Sequence[str] | None, value: str, qs: Seq
     by, qs = names(by), [float(q) for q in qs]
     data = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = prefix_sums(order_index(counts, by, "_v"), by, {"_upto": F.col("_c")})
-    totals = ranked.groupBy(*by).agg(F.max("_upto").alias("_n"))
-    ranked = attach_stats(ranked, totals, by)
+    ranked = running_counts(counts, by, "_v", {"_upto": "_c"}, {"_n": "_c"})
     spots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("p")) for i, q in enumerate(qs)])
     ranked = ranked.withColumn("_spot", F.explode(spots)).withColumn(
         "_at", F.col("_spot.p") * (F.col("_n") - 1)
@@ -378,8 +399,7 @@ def average_ranks(df: DataFrame, by: str | Sequence[str] | None, value: str, out
     by = names(by)
     counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     counts = counts.withColumn("_o", F.col("_v") if ascending else -F.col("_v"))
-    ranked = prefix_sums(order_index(counts, by, "_o"), by, {"_upto": F.col("_c")})
-    ranked = ranked.select(
+    ranked = running_counts(counts, by, "_o", {"_upto": "_c"}).select(
         *by, F.col("_v").alias(value), (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out)
     )
     return attach(df, ranked, [*by, value])

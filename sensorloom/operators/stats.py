@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from sensorloom.functions.normal import inverse_normal, kolmogorov_p, normal_cdf, pearson_p
 from sensorloom.kernels import (
-    IDX, attach, attach_stats, average_ranks, cells_to_matrix, framed, gram_cells, names, order_index, prefix_sums, quantiles, solve_ridge,
+    IDX, attach, attach_stats, cells_to_matrix, framed, gram_cells, names, prefix_sums, quantiles, running_counts, solve_ridge,
 )
 from sensorloom.operators.windows import centred_mean
 from sensorloom.session import settle
@@ -102,7 +102,7 @@ def value_counts(df: DataFrame, by, value: str) -> DataFrame:
     """Distinct values in order with their running count ``upto`` — hot values are one row each."""
     by = names(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    return prefix_sums(order_index(counts, by, value), by, {"upto": F.col("c")})
+    return running_counts(counts, by, value, {"upto": "c"})
 
 
 @F.pandas_udf(T.DoubleType())
@@ -362,7 +362,7 @@ def similarity(lab: DataFrame, field: DataFrame, pairs: Sequence[tuple[str, str]
 
     long = wide.unpivot([IDX], every, "name", "z").where(F.col("z").isNotNull())
     counts = settle(long.groupBy("name", "z").agg(F.count(F.lit(1)).alias("c")))
-    ranked = prefix_sums(order_index(counts, "name", "z"), "name", {"upto": F.col("c")}).select("name", "z", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
+    ranked = running_counts(counts, "name", "z", {"upto": "c"}).select("name", "z", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
     ranks = long.join(ranked, ["name", "z"]).groupBy(IDX).pivot("name", every).agg(F.max("rank"))
     rho = ranks.agg(*[F.corr(f"a_{a}", f"b_{b}").alias(f"r|{a}|{b}") for a, b in pairs]).first()
 
@@ -373,7 +373,7 @@ def similarity(lab: DataFrame, field: DataFrame, pairs: Sequence[tuple[str, str]
     uses = F.create_map(*[x for c, us in uses.items() for x in (F.lit(c), F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(i).alias("i"), F.lit(j).alias("j")) for p, i, j in us]))])
     steps = counts.select(F.explode(F.element_at(uses, F.col("name"))).alias("u"), "z", "c")
     steps = steps.groupBy("u.pair", "z").agg(F.sum(F.col("u.i") * F.col("c")).alias("ca"), F.sum(F.col("u.j") * F.col("c")).alias("cb"))
-    steps = prefix_sums(order_index(steps, "pair", "z"), "pair", {"ua": F.col("ca"), "ub": F.col("cb")})
+    steps = running_counts(steps, "pair", "z", {"ua": "ca", "ub": "cb"})
     gaps = {r["pair"]: r["d"] for r in steps.groupBy("pair").agg((F.max(F.abs(F.col("ua") - F.col("ub"))) / n).alias("d")).collect()}
 
     out = []
