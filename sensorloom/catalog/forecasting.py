@@ -195,7 +195,7 @@ def parameter_search(spark, sf):
     found = forecast.grid_search(
         rows.where("split = 'train'"), rows.where("split <> 'train'"), inputs, "value_t1",
         {"maxDepth": [2, 3], "numTrees": [3, 6]}, "random_forest")
-    return spark.createDataFrame(found)
+    return spark.createDataFrame([(f["maxDepth"], f["numTrees"], f["r2"], f["rmse"], f["mae"]) for f in found], "maxDepth int, numTrees int, r2 double, rmse double, mae double")
 
 
 @query("scored_windows", f"""

@@ -465,6 +465,8 @@ def grid_search(
         combos = [combos[i] for i in sorted(order)]
     from sensorloom.operators.metrics import forecast_metrics
 
+    if train.isEmpty() or test.isEmpty():  # too few rows to tell configurations apart
+        return [{**options, "r2": None, "rmse": None, "mae": None} for options in combos]
     results = []
     for options in combos:
         model = TargetTrees(inputs, [target], kind, **options).fit(train)

@@ -305,15 +305,15 @@ def decompose(df: DataFrame, series, value: str, period: int) -> DataFrame:
 
 
 def explore(df: DataFrame, series, value: str, every: int = 10, max_lag: int = 30, lags: int = 50) -> DataFrame:
-    """Summary row per series: statistics on all rows; normality, stationarity and ACF on every ``every``-th."""
+    """Summary row per series: statistics on all rows; normality, stationarity and ACF on every ``every``-th (null where these are too few)."""
     by = names(series)
     thin = df.where(F.col(IDX) % every == 0).withColumn(IDX, (F.col(IDX) / every).cast("bigint"))
     out = attach(describe(df, by, value), iqr_outliers(df, by, value).select(*by, "outliers"), by)
-    out = attach(out, ks_normal(thin, by, value).select(*by, F.col("ks").alias("ks_normal"), "normal"), by)
+    out = attach(out, ks_normal(thin, by, value).select(*by, F.col("ks").alias("ks_normal"), "normal"), by, "left")
     labels = stationarity(adf(thin, by, value, max_lag), kpss(thin, by, value), by)
-    out = attach(out, labels, by)
+    out = attach(out, labels, by, "left")
     strong = acf(thin, by, value, lags).where("lag > 0").groupBy(*by).agg(F.count_if("significant").alias("significant_lags"))
-    return attach(out, strong, by)
+    return attach(out, strong, by, "left")
 
 
 # --------------------------------------------------------------------- similarity
