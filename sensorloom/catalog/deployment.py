@@ -134,7 +134,7 @@ EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type ST
 
 
 def event_stream(spark, sf):
-    reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
+    reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64)
     return reader.parquet(sf).select("event_type", "ts", "event_id", "user_id", "value")
 
 

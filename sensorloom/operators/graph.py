@@ -153,25 +153,23 @@ def heavy_vicinity(ego: DataFrame, keys, min_nodes: int = 10) -> DataFrame:
     return oddball_scaled(ego, keys, "egonet_total_weight", "egonet_edges", min_nodes)
 
 
+STEPS_LOCAL, STEPS_CLUSTER = 200_000, 1000
+
+
 def _largest_eigenvalue(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray) -> float:
     members, at = np.unique(np.r_[rows, cols], return_inverse=True)
     n, m = len(members), len(rows)
     i, j = at[:m], at[m:]
-    if n <= 500:
-        a = np.zeros((n, n))
-        a[i, j] = weights
-        a[j, i] = weights
-        return float(np.linalg.eigvalsh(a)[-1])
     x, value = np.full(n, 1 / np.sqrt(n)), 0.0
     shift = weights.max()
-    for _ in range(1000):
+    for _ in range(STEPS_LOCAL):
         y = shift * x + np.bincount(i, weights * x[j], n) + np.bincount(j, weights * x[i], n)
         size = np.linalg.norm(y)
         x = y / size
-        if abs(size - shift - value) <= 1e-11 * size:
-            break
+        if abs(size - shift - value) <= 1e-13 * size:
+            return float(size - shift)
         value = size - shift
-    return float(size - shift)
+    raise RuntimeError(f"the eigenvalue of an egonet with {m} edges did not settle in {STEPS_LOCAL} steps")
 
 
 def ego_edges(edges: DataFrame, keys, found: DataFrame | None = None) -> DataFrame:
@@ -213,7 +211,7 @@ def ego_eigenvalues(edges: DataFrame, keys, max_edges: int = 50_000, tolerance:
     shift = settle(links.groupBy(*by, "ego").agg(F.max("weight").alias("_shift")))
     x = settle(members.withColumn("x", F.lit(1.0)))
     last, values = None, None
-    for _ in range(1000):
+    for _ in range(STEPS_CLUSTER):
         moved = attach(links, x.select(*by, "ego", F.col("u").alias("v"), F.col("x").alias("_x")), [*by, "ego", "v"])
         moved = moved.groupBy(*by, "ego", "u").agg(F.sum(F.col("weight") * F.col("_x")).alias("_ax"))
         stepped = attach(attach(x, moved, [*by, "ego", "u"]), shift, [*by, "ego"])
@@ -228,6 +226,8 @@ def ego_eigenvalues(edges: DataFrame, keys, max_edges: int = 50_000, tolerance:
             if worst is None or worst <= tolerance:
                 break
         last = values
+    else:
+        raise RuntimeError(f"the eigenvalues of the largest egonets did not settle in {STEPS_CLUSTER} steps")
     return out.unionByName(values.select(*by, F.col("ego").alias("node"), "lambda"))
 
 

@@ -1,7 +1,8 @@
 """Structured Streaming twins of the windowed operators.
 
 State per key is bounded: one window of rows, or two sums.  Within a micro-batch
-rows are taken in (order, tie-break) order.
+rows are taken in (order, tie-break) order; a key's rows of one batch are sorted
+together, so give sources a trigger limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -27,18 +28,15 @@ def count_windows(stream: DataFrame, key: str, order: Sequence[str], value: str,
 
     def collect(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, fired = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values(list(order))[value].tolist()
-        out = []
-        for v in rows:
-            held.append(float(v))
-            if len(held) == n and fire == "at_once":
-                out.append((fired, held))
-                held, fired = [], fired + 1
-            elif len(held) > n:
-                held = held[1:]
-        if fire == "per_batch" and len(held) == n:
-            out.append((fired, held))
-            held, fired = [], fired + 1
+        rows = held + pd.concat(list(batches)).sort_values(list(order))[value].astype(float).tolist()
+        if fire == "at_once":
+            out = [rows[i : i + n] for i in range(0, len(rows) - n + 1, n)]
+            held = rows[len(out) * n :]
+        else:
+            out = [rows[-n:]] if len(rows) >= n else []
+            held = [] if out else rows
+        out = [(fired + i, values) for i, values in enumerate(out)]
+        fired += len(out)
         state.update((held, fired))
         yield pd.DataFrame({key: [k[0]] * len(out), "window_id": [o[0] for o in out], "values": [o[1] for o in out]})
 
@@ -86,6 +84,14 @@ def defect_rate(df: DataFrame, defect: Column, by: Sequence[str] = ()) -> DataFr
     return df.groupBy(*by).agg(n.alias("rows"), bad.alias("bad_rows"), safe_divide(bad, n).alias("bad_rate"))
 
 
+def _reflected(steps: np.ndarray, start: float, started: bool) -> np.ndarray:
+    """``W = max(0, W_before + step)`` for all rows of a batch at once; the very first row of a key makes no step."""
+    if not started:
+        steps = np.concatenate([[0.0], steps[1:]])
+    total = np.cumsum(steps)
+    return total - np.minimum(-start, np.minimum.accumulate(total))
+
+
 def cusum_stream(stream: DataFrame, key: str, order: Sequence[str], value: str, thresholds: DataFrame) -> DataFrame:
     """Running two-sided CUSUM per key against stored ``(key, mu0, h, k)`` and sigma limits.
 
@@ -101,20 +107,15 @@ def cusum_stream(stream: DataFrame, key: str, order: Sequence[str], value: str,
         pos, neg, started = state.get if state.exists else (0.0, 0.0, False)
         rows = pd.concat(list(batches)).sort_values(list(order))
         mu, slack = rows["mu0"].to_numpy(), rows["k"].to_numpy()
-        x = np.where(rows[value].isna(), mu, rows[value].to_numpy())
-        ps, ns = [], []
-        for v, m, s in zip(x.tolist(), mu.tolist(), slack.tolist()):
-            if started:
-                pos, neg = max(0.0, pos + v - m - s), max(0.0, neg - (v - m + s))
-            started = True
-            ps.append(pos)
-            ns.append(neg)
+        off = np.where(rows[value].isna(), 0.0, rows[value].to_numpy(dtype=float) - mu)
+        ps, ns = _reflected(off - slack, pos, started), _reflected(-off - slack, neg, started)
+        pos, neg = float(ps[-1]), float(ns[-1])
         state.update((pos, neg, True))
         h = rows["h"].to_numpy()
         danger = (rows[value] < rows["danger_lower"]) | (rows[value] > rows["danger_upper"])
         yield pd.DataFrame({
             key: rows[key], **{c: rows[c] for c in order}, "cusum_pos": ps, "cusum_neg": ns,
-            "cusum_alarm": (np.array(ps) > h) | (np.array(ns) > h), "sigma_danger": danger})
+            "cusum_alarm": (ps > h) | (ns > h), "sigma_danger": danger})
 
     return rows.groupBy(key).applyInPandasWithState(
         walk, f"{fields}, cusum_pos double, cusum_neg double, cusum_alarm boolean, sigma_danger boolean",

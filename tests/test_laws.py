@@ -205,3 +205,29 @@ def test_lof_rows_with_one_key(spark):
     want = sorted(r["lof"] for r in neighbours.lof(points, 5, points).collect())
     model = outliers.LocalOutlierFactor(["a", "b"], k=5).fit(df)
     assert np.allclose(sorted(r["score"] for r in model.score(df).collect()), want)
+
+
+def test_streams_over_many_small_batches(spark, tmp_path):
+    """Windows and CUSUM with state equal plain loops, whatever the micro-batches are."""
+    from sensorloom.streaming import operators as streaming
+
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"k": np.where(np.arange(230) % 5 == 0, "b", "hot"), "t": np.arange(230), "v": rng.normal(size=230)})
+    for i in range(6):  # files in order of time
+        spark.createDataFrame(pdf[i * 40 : (i + 1) * 40]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    reader = spark.readStream.schema("k string, t long, v double").option("maxFilesPerTrigger", 1)
+    got = streaming.drain(streaming.count_windows(reader.parquet(f"{tmp_path}/in"), "k", ["t"], "v", 30), f"{tmp_path}/w").toPandas()
+    limits = spark.createDataFrame([(k, 0.1, 2.0, 0.3, -2.0, 2.0) for k in ("b", "hot")], "k string, mu0 double, h double, k_ double, danger_lower double, danger_upper double")
+    walked = streaming.drain(
+        streaming.cusum_stream(reader.parquet(f"{tmp_path}/in").withColumnRenamed("k", "s"), "s", ["t"], "v", limits.withColumnRenamed("k", "s").withColumnRenamed("k_", "k")), f"{tmp_path}/c"
+    ).toPandas().sort_values("t")
+    for key, rows in pdf.groupby("k"):
+        values = rows["v"].tolist()
+        windows = got[got["k"] == key].sort_values("window_id")
+        assert [list(w) for w in windows["values"]] == [values[i : i + 30] for i in range(0, len(values) - 29, 30)]
+        pos = neg = 0.0
+        want = [(0.0, 0.0)]
+        for v in values[1:]:
+            pos, neg = max(0.0, pos + v - 0.1 - 0.3), max(0.0, neg - (v - 0.1 + 0.3))
+            want.append((pos, neg))
+        assert np.allclose(walked[walked["s"] == key][["cusum_pos", "cusum_neg"]], want)
