@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import table
 from sensorloom.llm import bpe, catalog, chosen_path, crf, decontaminate, lines
-from sensorloom.session import scratch_dir
+from sensorloom.session import folder
 
 LEAST_QUALITY = 0.3
 
@@ -58,10 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, path = table(spark, sf_dir, "documents"), f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
+        docs = spark.read.parquet(f"{path}/{k}")
     return docs
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import table
 from sensorloom.llm import bpe, chosen_path, crf, decontaminate, langid, licenses, lines, substrings, warc, winnow
-from sensorloom.session import scratch_dir
+from sensorloom.session import folder
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf, "pages"), path, min_bytes=0)
     records = warc.read_archives(spark, path, with_payload=False).where("reason IS NULL")
     return records.select(
