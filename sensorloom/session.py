@@ -80,9 +80,11 @@ def folder(spark: SparkSession) -> str:
 
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        context = spark.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        # a stopped context has no configuration left; the default one knows local and default file systems
+        conf = context._jsc.hadoopConfiguration() if context._jsc else context._jvm.org.apache.hadoop.conf.Configuration()
+        where.getFileSystem(conf).delete(where, True)
 
 
 def forget(spark: SparkSession) -> None:
