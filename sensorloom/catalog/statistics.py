@@ -109,9 +109,19 @@ def autocorrelation(spark, sf):
     return rounded(stats.acf(indexed_events(spark, sf), "event_type", "value"))
 
 
-@query("partial_autocorrelation")
+@query("partial_autocorrelation", f"""
+WITH RECURSIVE {EV}, c AS (SELECT event_type, idx, value - avg(value) OVER (PARTITION BY event_type) AS x FROM ev),
+g AS (SELECT event_type, sum(x * x) AS v, count(*) AS n FROM c GROUP BY 1),
+p AS (SELECT a.event_type, b.idx - a.idx AS lag, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.event_type = b.event_type AND b.idx > a.idx AND b.idx <= a.idx + 50 GROUP BY 1, 2),
+r AS (SELECT p.event_type, any_value(n) AS n, list(s / v ORDER BY lag) AS r FROM p JOIN g ON g.event_type = p.event_type GROUP BY 1),
+d AS (SELECT event_type, n, r, 1 AS k, [r[1]] AS phi, 1 - r[1] * r[1] AS err, r[1] AS a FROM r
+ UNION ALL SELECT event_type, n, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - b * phi[k + 1 - j]), b), err * (1 - b * b), b
+ FROM (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / err AS b FROM d WHERE k < len(r)))
+SELECT event_type, k AS lag, round(a, 6) + 0.0 AS pacf, round(1.96 / sqrt(n), 6) AS conf, abs(a) > 1.96 / sqrt(n) AS significant FROM d
+UNION ALL SELECT event_type, 0, 1.0, round(1.96 / sqrt(n), 6), 1.0 > 1.96 / sqrt(n) FROM r
+""")
 def partial_autocorrelation(spark, sf):
-    return stats.pacf(indexed_events(spark, sf), "event_type", "value", 50)
+    return rounded(stats.pacf(indexed_events(spark, sf), "event_type", "value", 50))
 
 
 @query("unit_root_test")
