@@ -12,9 +12,10 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from sensorloom.llm.text import CHUNK_BYTES, pieces
+from sensorloom.llm.text import pieces
 
 _NONE = np.int32(2**31 - 1)
+BATCH_CHARS = 4 << 20
 CACHE_PIECES = 400_000
 CELLS = 1 << 21
 LONG_BYTES = 512
@@ -193,7 +194,7 @@ def _mapped(docs: DataFrame, vocabulary_path: str, pattern: str, text: str, doc:
         tool = codec(sent.value, pattern)
         for batch in batches:
             texts = batch["_text"].fillna("").tolist()
-            for part in pieces([len(t) for t in texts], CHUNK_BYTES):
+            for part in pieces([len(t) for t in texts], BATCH_CHARS):
                 out = [row(tool, ids) for ids in tool.encode_batch(texts[part])]
                 yield pd.DataFrame({doc: batch["_id"].iloc[part].to_numpy(), **{k: [r[k] for r in out] for k in out[0]}})
 
