@@ -124,7 +124,7 @@ def approaches_compared(spark, sf):
 @query("var_forecast")
 def var_forecast(spark, sf):
     rows = align.fill(indexed_hourly(spark, sf), None, EVENT_TYPES).select(IDX, *EVENT_TYPES)
-    model = forecast.VectorAutoregression(EVENT_TYPES, 5).fit(rows)
+    model = forecast.VectorAutoregression(EVENT_TYPES).fit(rows)
     starts = split.evaluation_positions(rows, None, 50)
     return model.forecast(rows, starts, 12)
 
@@ -156,7 +156,7 @@ def _tree_rows(spark, sf):
 def key_horizon_trees(spark, sf):
     """Random forests at horizons 1, 6 and 12, interpolated to every step."""
     rows, inputs = _tree_rows(spark, sf)
-    model = forecast.TargetTrees(inputs, ["value_t1", "value_t6", "value_t12"], "random_forest", numTrees=5, maxDepth=4).fit(rows)
+    model = forecast.TargetTrees(inputs, ["value_t1", "value_t6", "value_t12"], "random_forest").fit(rows)
     scored = model.predict(rows).select("event_type", IDX, *[F.col(f"pred_value_t{h}").alias(str(h)) for h in (1, 6, 12)])
     long = scored.unpivot(["event_type", IDX], ["1", "6", "12"], "horizon", "y_pred").withColumn("horizon", F.col("horizon").cast("int"))
     every = forecast.interpolate_horizons(long, ["event_type", IDX], 12)
@@ -182,7 +182,7 @@ def multi_output_boosting(spark, sf):
     rows = settle(windows.supervised(indexed_events(spark, sf), "event_type", "value", horizon=2))
     rows = split.split_chronological(rows, "event_type", (0.8, 0.0, 0.2))
     inputs = [c for c in rows.columns if c.startswith(("value_lag", "value_r"))]
-    model = forecast.TargetTrees(inputs, ["value_t1", "value_t2"], maxIter=3, maxDepth=3).fit(rows.where("split = 'train'"))
+    model = forecast.TargetTrees(inputs, ["value_t1", "value_t2"]).fit(rows.where("split = 'train'"))
     scored = model.predict(rows.where("split <> 'train'"))
     parts = [metrics.forecast_metrics(scored, None, f"value_t{h}", f"pred_value_t{h}").withColumn("step", F.lit(h)) for h in (1, 2)]
     return parts[0].unionByName(parts[1])

@@ -167,9 +167,9 @@ def rescored_without_top(spark, sf):
 
 @query("oddball_with_lof")
 def oddball_with_lof(spark, sf):
-    """The click graph: clique/star score and LOF of its egonets, both scaled and averaged."""
-    edges = natural(spark, sf)[1].where("event_type = 'click'")
-    return graph.oddball_with_lof(graph.oddball(graph.egonets(edges, KEY), KEY), 20).select("node", "oddball_score", "lof", "combined")
+    """Clique/star score and LOF of the egonets of each graph, both scaled and averaged."""
+    scores = graph.oddball(graph.egonets(natural(spark, sf)[1], KEY), KEY)
+    return graph.oddball_with_lof(scores, 20, KEY).select(KEY, "node", "oddball_score", "lof", "combined")
 
 
 @query("residual_branches")

@@ -142,7 +142,7 @@ def kpss_statistic(spark, sf):
 @query("stationarity_labels")
 def stationarity_labels(spark, sf):
     rows = indexed_events(spark, sf)
-    return stats.stationarity(stats.adf(rows, "event_type", "value", 10), stats.kpss(rows, "event_type", "value"), "event_type")
+    return stats.stationarity(stats.adf(rows, "event_type", "value"), stats.kpss(rows, "event_type", "value"), "event_type")
 
 
 @query("seasonal_decomposition", f"""

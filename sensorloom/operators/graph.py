@@ -270,11 +270,27 @@ def rescore_without_top(edges: DataFrame, keys, k: int = 2) -> DataFrame:
     return before.withColumn("round", F.lit("before")).unionByName(again.withColumn("round", F.lit("after")))
 
 
-def oddball_with_lof(scores: DataFrame, k: int = 20) -> DataFrame:
-    """One graph's clique/star score averaged with the LOF of (nodes, edges), both scaled to 0…1."""
-    points = scores.select(F.col("node").alias("id"), F.array(F.col("egonet_nodes").cast("double"), F.col("egonet_edges").cast("double")).alias("vec"))
-    rows = scores.join(lof(points, k).withColumnRenamed("id", "node"), "node")
-    return combine_scores(rows, ["oddball_score", "lof"])
+def _each_graph(rows: DataFrame, by: list[str]) -> list[DataFrame]:
+    """The rows of every graph (the keys of the graphs reach the driver)."""
+    out = []
+    for key in rows.select(*by).distinct().sort(*by).collect() if by else [()]:
+        part = rows
+        for c, value in zip(by, key, strict=True):
+            part = part.where(F.col(c).eqNullSafe(F.lit(value)))
+        out.append(part)
+    return out
+
+
+def oddball_with_lof(scores: DataFrame, k: int = 20, keys=()) -> DataFrame:
+    """Each graph's clique/star score averaged with the LOF of (nodes, edges) among its own nodes, both scaled to 0…1."""
+    by, scores, out = names(keys), settle(scores), None
+    for part in _each_graph(scores, by):
+        points = part.select(F.col("node").alias("id"), F.array(F.col("egonet_nodes").cast("double"), F.col("egonet_edges").cast("double")).alias("vec"))
+        rows = combine_scores(part.join(lof(points, k).withColumnRenamed("id", "node"), "node"), ["oddball_score", "lof"])
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return scores.withColumns({"lof": F.lit(None).cast("double"), "combined": F.lit(None).cast("double")})
+    return out
 
 
 def branches(scored: DataFrame, keys, log_edges_above: float = 6.0, n_branches: int = 4, min_points: int = 1000, min_cluster: int = 100, seed: int = 42) -> DataFrame:

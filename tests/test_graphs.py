@@ -140,3 +140,11 @@ def test_communities_cover_all_nodes(spark, small):
             if v in hubs:
                 assert part.loc[v, "hub"] == v
         assert part["community"].min() == 0 and part["community"].max() == len(hubs) - 1
+
+
+def test_lof_of_each_graph_alone(spark, small):
+    """What a graph gets does not depend on the graphs beside it."""
+    odd = graph.oddball(graph.egonets(small[0], "s"), "s")
+    got = sorted(map(repr, graph.oddball_with_lof(odd, 5, "s").select("s", "node", "lof", "combined").collect()))
+    alone = [graph.oddball_with_lof(odd.where(F.col("s") == s), 5, "s").select("s", "node", "lof", "combined").collect() for s in ("a", "b")]
+    assert got == sorted(map(repr, alone[0] + alone[1])) and len(alone[0]) > 0 < len(alone[1])
