@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import table
-from sensorloom.llm import bpe, chosen_path, crf, decontaminate, langid, licenses, lines, substrings, warc, winnow
+from sensorloom.llm import bpe, chosen_path, crf, decontaminate, langid, licenses, lines, spelling, substrings, warc, winnow
 from sensorloom.session import folder
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -64,7 +64,11 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return chosen_path.similar_classes(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op6_decontamination, op7_substring_dedup, op8_language_id, op9_license_scan, op10_jaccard_join)}
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf, "documents"), least_chars=6, least_n=5, ratio=5, drop_every=199)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op6_decontamination, op7_substring_dedup, op8_language_id, op9_license_scan, op10_jaccard_join, op13_spelling_variants)}
 
 ORACLES = {
     "op7_substring_dedup": r"""
@@ -88,4 +92,27 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN s USING (key) GROUP BY doc_id
     """,
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE bits(b, c, k) AS (
+               SELECT i, i::BIGINT, 0 FROM range(256) r(i) UNION ALL
+               SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+             crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+             r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents),
+             l AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM r),
+             o AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS s, w, count(*) AS times FROM l GROUP BY ALL),
+             h AS (SELECT w, times, xor(4294967295, list_reduce(list_transform(range(1, strlen(hex(s)) // 2 + 1), lambda i: ('0x' || substr(hex(s), 2 * i - 1, 2))::BIGINT),
+                          lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295)) AS h FROM o, crc),
+             d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, times FROM h),
+             v AS (SELECT word, sum(times)::BIGINT AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+             c AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+             e AS (SELECT a.word, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                   UNION SELECT c.word, v.word, v.n FROM c JOIN v ON c.rest = v.word
+                   UNION SELECT v.word, c.word, c.n FROM c JOIN v ON c.rest = v.word),
+             q AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+                          row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM e),
+             f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+                   FROM v LEFT JOIN q ON v.word = q.word AND place = 1),
+             w(word, root, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT w.word, f.form, step + 1 FROM w JOIN f ON w.root = f.word WHERE f.form IS NOT NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, max_by(root, step) AS root FROM w GROUP BY word) USING (word)
+    """,
 }
