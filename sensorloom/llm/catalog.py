@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import table
-from sensorloom.llm import bpe, chosen_path, crf, decontaminate, langid, licenses, lines, spelling, substrings, warc, winnow
+from sensorloom.llm import bpe, chosen_path, crf, decontaminate, langid, licenses, lines, ranked, spelling, substrings, vectors, warc, winnow
 from sensorloom.session import folder
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -64,11 +64,19 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return chosen_path.similar_classes(table(spark, sf, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), top=50)
+
+
+def op12_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf, "embeddings"), threshold=0.9)
+
+
 def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf, "documents"), least_chars=6, least_n=5, ratio=5, drop_every=199)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op6_decontamination, op7_substring_dedup, op8_language_id, op9_license_scan, op10_jaccard_join, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_line_dedup, op4_quality_crf, op5_fingerprints, op6_decontamination, op7_substring_dedup, op8_language_id, op9_license_scan, op10_jaccard_join, op11_ranked_search, op12_near_vectors, op13_spelling_variants)}
 
 ORACLES = {
     "op7_substring_dedup": r"""
@@ -92,6 +100,25 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN s USING (key) GROUP BY doc_id
     """,
+    "op11_ranked_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+             q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+             f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+             n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+             a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM n),
+             w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, a GROUP BY term, docs),
+             s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))))::BIGINT AS score
+                   FROM q JOIN w USING (term) JOIN f USING (term) JOIN n USING (doc_id), a GROUP BY item_id, doc_id),
+             r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+    """,
+    "op12_near_vectors": r"""
+        WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)),
+             v AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS l FROM u WHERE isfinite(list_inner_product(e, e)) AND list_inner_product(e, e) > 0),
+             k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.9),
+             c(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT k.b, c.root FROM c JOIN k ON c.vec_id = k.a)
+        SELECT vec_id, (SELECT count(*) FROM k WHERE k.a = c.vec_id)::BIGINT AS n_links, min(root)::BIGINT AS component_id, vec_id = min(root) AS kept FROM c GROUP BY vec_id
+    """,
     "op13_spelling_variants": r"""
         WITH RECURSIVE bits(b, c, k) AS (
                SELECT i, i::BIGINT, 0 FROM range(256) r(i) UNION ALL

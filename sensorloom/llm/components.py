@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,17 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = after
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+
+
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of the nodes of one task after the pairs ``(a, b)`` joined their groups; a label is the least index of its group."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        root = root.copy()
+        np.minimum.at(root, high[apart], low[apart])
+        while (root != (up := root[root])).any():
+            root = up
