@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from sensorloom.llm.text import pieces
 
 _NONE = np.int32(2**31 - 1)
-BATCH_CHARS = 4 << 20
-CACHE_PIECES = 400_000
-CELLS = 1 << 21
+BATCH_CHARS = 2 << 20
+CACHE_PIECES = 200_000
+CELLS = 1 << 20
 LONG_BYTES = 512
 _CODECS: dict[str, Codec] = {}
 

@@ -58,3 +58,17 @@ def test_awkward_documents_pass_every_stage(spark, rows):
             docs = spark.createDataFrame(out.collect(), out.schema)
         else:
             assert out.count() == docs.count()
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    """Near copies and leaks among rows without an id: only the rows concerned go, whatever other rows lack an id too."""
+    words = [f"word{i}" for i in range(120)]
+    near = [" ".join(words), " ".join([*words[:-1], "other"])]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    own = [f"text{k} " + " ".join(f"own{k}x{i}" for i in range(60)) for k in range(4)]
+    leak = f"before {item} after " + " ".join(f"leak{i}" for i in range(50))
+    rows = [(None, near[0], None), (None, near[1], None), (7, near[0], None), (7, near[0], None), (None, own[0], None), (None, own[0], None), (None, own[1], None), (3, own[2], None), (3, own[3], None), (None, leak, None)]
+    one = corpus_pipeline.near_duplicates(spark, awkward(spark, rows), SF)
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=repr) == sorted([(7, near[0]), (None, own[0]), (None, own[1]), (3, own[2]), (3, own[3]), (None, leak)], key=repr)
+    clean = corpus_pipeline.decontamination(spark, awkward(spark, rows), SF)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted([r[:2] for r in rows[:-1]], key=repr)
