@@ -54,6 +54,54 @@ def test_natural_visibility(spark, leaf, fan):
         assert got.get(s, set()) == brute(list(map(float, v)), False), s
 
 
+def records(values):
+    """Natural visibility as record slopes in exact arithmetic."""
+    out = set()
+    for i, a in enumerate(values):
+        best = None
+        for j in range(i + 1, len(values)):
+            slope = (Fraction(values[j]) - Fraction(a)) / (j - i)
+            if best is None or slope > best:
+                best = slope
+                out.add((i, j))
+    return out
+
+
+N = 300
+AT = np.arange(float(N))
+SHAPES = {
+    "concave": -((AT - 150) ** 2), "convex": (AT[:90] - 40) ** 2, "arc": np.round(np.sqrt(np.maximum(0, 250**2 - (AT - 200) ** 2)) * 64) / 64, "ramp": AT * 3, "steps": np.floor(AT / 7) * 0.125,
+    "constant": np.full(N, 2.5), "walk": np.cumsum(np.round(RNG.normal(size=N) * 16) / 16), "hills": np.round(np.sin(AT / 25) * 4096) / 16 - AT / 8, "peaks": np.where(AT % 60 == 7, 500 + AT, -(AT % 13)),
+}
+
+
+@pytest.mark.parametrize("leaf,fan", [(16, 4), (32, 3)])
+def test_natural_visibility_of_shapes(spark, leaf, fan):
+    """Long hulls (whole concave stretches) do not fit a sketch of ``leaf / fan`` points, and the edges are exact all the same."""
+    got = edges_of(visibility.natural_visibility(series_frame(spark, SHAPES), "s", "y", leaf, fan))
+    for s, v in SHAPES.items():
+        assert got.get(s, set()) == records(list(map(float, v))), s
+
+
+def test_sketches_are_bounded_and_enclose_the_hull(spark):
+    values = {"concave": -((np.arange(3000.0) - 1000) ** 2), "flat": np.ones(3000), "ramp": np.arange(3000) * 0.1}
+    for s, v in values.items():
+        x = np.arange(3000.0)
+        hull = visibility.upper_hull(x, v)
+        assert len(hull[0]) == (3000 if s == "concave" else 2) or s == "ramp"
+        assert s != "ramp" or len(hull[0]) < 64
+        sketch = visibility._sketched((x, v), (x, v), 16)
+        assert all(len(sketch[c]) <= 16 for c in sketch) and set(sketch["hx"]) <= set(x)
+        assert (np.interp(x, sketch["ox"], sketch["oy"]) >= v - 1e-12 * np.abs(v)).all()
+        left = np.linspace(-500, -1, 40)
+        y = np.interp(left, [-500, -1], [v.min(), v.max()])
+        true = visibility._steepest(left, y, x, v)
+        assert (visibility._steepest(left, y, sketch["hx"], sketch["hy"]) <= true).all() and (visibility._steepest(left, y, sketch["ox"], sketch["oy"]) >= true).all()
+    rows = visibility._ladder(
+        spark.createDataFrame([("a", k, [float(k)] * 4, [1.0] * 4, [float(k)] * 4, [1.0] * 4) for k in range(40)], "s string, _leaf long, hx array<double>, hy array<double>, ox array<double>, oy array<double>"), ["s"], 4, 4)
+    assert len(rows) == 3 and max(len(r.children) for t in rows for r in t.collect()) <= 4
+
+
 @pytest.mark.parametrize("chunk", [100000, 8])
 def test_horizontal_visibility(spark, chunk, monkeypatch):
     monkeypatch.setattr("sensorloom.nearest.FAN", 3)
