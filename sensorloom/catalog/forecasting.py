@@ -8,7 +8,7 @@ from sensorloom.catalog.base import (
     DAY, EV, EVENT_TYPES, FEATURES, HR, LI, LINE_KEY, daily, indexed_events, indexed_hourly, indexed_lines, lines, query, rounded,
 )
 from sensorloom.kernels import IDX, attach, framed
-from sensorloom.operators import align, detect, forecast, metrics, split, windows
+from sensorloom.operators import align, arima, detect, forecast, metrics, split, windows
 from sensorloom.plans import comparison, flows
 from sensorloom.session import settle
 
@@ -139,6 +139,36 @@ def arima_forecast(spark, sf):
     return last.select("day", ahead.alias("f")).select(F.date_add("day", F.col("f.step")).alias("day"), "f.y_pred")
 
 
+@query("arima_histories", f"""
+WITH RECURSIVE {EV}, df AS (SELECT event_type, idx, value, value - lag(value) OVER w AS x FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY idx)),
+lg AS (SELECT *, lag(x) OVER (PARTITION BY event_type ORDER BY idx) AS p FROM df),
+en AS (SELECT event_type, unnest(range(100, max(idx) - 10, 100)) AS stop FROM ev GROUP BY 1),
+ar AS (SELECT e.event_type, stop, regr_slope(x, p) AS b, regr_intercept(x, p) AS a FROM en e JOIN lg ON lg.event_type = e.event_type AND idx >= 22 AND idx < stop GROUP BY 1, 2),
+f(event_type, stop, step, x, level) AS (SELECT a.event_type, stop, 0, x, value FROM ar a JOIN lg ON lg.event_type = a.event_type AND idx = stop - 1 UNION ALL
+  SELECT f.event_type, f.stop, step + 1, a + b * x, level + a + b * x FROM f JOIN ar ON ar.event_type = f.event_type AND ar.stop = f.stop WHERE step < 12)
+SELECT f.event_type, f.stop AS "end", step, value AS y_true, round(level, 5) + 0.0 AS y_pred FROM f JOIN ev ON ev.event_type = f.event_type AND idx = f.stop + step - 1 WHERE step > 0
+""")
+def arima_histories(spark, sf):
+    """ARIMA(1, 1, 0) of every series, refitted at every hundredth row, twelve steps ahead of each."""
+    rows = indexed_events(spark, sf)
+    ends = rows.groupBy("event_type").agg(F.max(IDX).alias("_n")).select("event_type", F.explode(F.expr("filter(sequence(100, greatest(_n, 100), 100), e -> e <= _n - 11)")).alias("end"))
+    made = arima.forecast_histories(rows, "event_type", "value", ends, 12, (1, 1, 0))
+    made = made.withColumn(IDX, F.col("end") + F.col("step") - 1)
+    return rounded(attach(made, rows.select("event_type", IDX, F.col("value").alias("y_true")), ["event_type", IDX]).drop(IDX), 5, ["y_pred"])
+
+
+@query("arima_scores")
+def arima_scores(spark, sf):
+    """Orders chosen for every series by AIC, and the errors of forecasts from every 250th row with models of those orders."""
+    rows = indexed_events(spark, sf)
+    orders = settle(arima.choose_orders(rows, "event_type", "value"))
+    ends = rows.groupBy("event_type").agg(F.max(IDX).alias("_n")).select("event_type", F.explode(F.expr("filter(sequence(100, greatest(_n, 100), 250), e -> e <= _n - 11)")).alias("end"))
+    made = arima.forecast_histories(rows, "event_type", "value", ends, 12, orders)
+    made = made.withColumn(IDX, F.col("end") + F.col("step") - 1)
+    scored = metrics.forecast_metrics(attach(made, rows.select("event_type", IDX, F.col("value").alias("y_true")), ["event_type", IDX]), "event_type")
+    return attach(scored, orders, "event_type")
+
+
 @query("trend_season_forecast")
 def trend_season_forecast(spark, sf):
     rows = daily(spark, sf)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import EV, indexed_events, query, rounded
 from sensorloom.kernels import IDX, attach
-from sensorloom.operators import graph, visibility
+from sensorloom.operators import graph, paths, visibility
 from sensorloom.session import settle
 
 KEY = "event_type"
@@ -33,6 +33,32 @@ hr0 AS (SELECT e.event_type, node, beta, c, ln(weight) - c - beta * ln(edges) AS
 hs AS (SELECT h.*, abs(residual) / stddev_samp(residual) OVER (PARTITION BY event_type) AS score FROM hr0 h)"""
 
 
+# Breadth-first search over neighbours nb: distances, numbers of shortest paths and dependencies, level by level.
+NEIGHBOURS = "nb AS MATERIALIZED (SELECT event_type, src AS node, dst AS other FROM {0} UNION ALL SELECT event_type, dst, src FROM {0})"
+PIVOTS = """pv AS (SELECT event_type, node AS origin FROM (SELECT DISTINCT event_type, node FROM nb)
+  QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_type || '|' || node) DESC, node) <= {0})"""
+BFS = """{0}(event_type, origin, node, d) USING KEY (event_type, origin, node) AS (SELECT event_type, origin, {2}, 0 FROM {1} UNION
+  SELECT b.event_type, b.origin, n.other, min(b.d + 1) FROM {0} b JOIN nb n ON n.event_type = b.event_type AND n.node = b.node
+  LEFT JOIN recurring.{0} r ON r.event_type = b.event_type AND r.origin = b.origin AND r.node = n.other WHERE r.d IS NULL GROUP BY 1, 2, 3)"""
+SIGMA = """sg(event_type, origin, node, d, sigma) AS (SELECT event_type, origin, origin, 0, 1.0::DOUBLE FROM pv UNION ALL
+  SELECT s.event_type, s.origin, n.other, s.d + 1, sum(s.sigma) FROM sg s JOIN nb n ON n.event_type = s.event_type AND n.node = s.node
+  JOIN bf b ON b.event_type = s.event_type AND b.origin = s.origin AND b.node = n.other AND b.d = s.d + 1 GROUP BY 1, 2, 3, 4)"""
+DELTA = """de(event_type, origin, node, d, delta) AS (SELECT event_type, origin, node, d, 0.0::DOUBLE FROM sg QUALIFY d = max(d) OVER (PARTITION BY event_type, origin) UNION ALL
+  SELECT s.event_type, s.origin, s.node, s.d, coalesce(sum(s.sigma / c.sigma * (1 + t.delta)), 0.0)
+  FROM (SELECT DISTINCT event_type, origin, d FROM de) l JOIN sg s ON s.event_type = l.event_type AND s.origin = l.origin AND s.d = l.d - 1
+  JOIN nb n ON n.event_type = s.event_type AND n.node = s.node
+  LEFT JOIN sg c ON c.event_type = s.event_type AND c.origin = s.origin AND c.node = n.other AND c.d = s.d + 1
+  LEFT JOIN de t ON t.event_type = c.event_type AND t.origin = c.origin AND t.node = c.node GROUP BY 1, 2, 3, 4)"""
+ROUTES = f"""WITH RECURSIVE {HVG}, {NEIGHBOURS.format('hv')},
+en AS (SELECT event_type, min(node) AS first, max(node) AS last FROM nb GROUP BY 1), sr AS (SELECT event_type, unnest([first, last]) AS origin FROM en),
+{BFS.format('bf', 'sr', 'origin')}, ab AS (SELECT a.event_type, a.node, a.d + b.d AS d FROM en JOIN bf a ON a.event_type = en.event_type AND a.origin = first JOIN bf b ON b.event_type = en.event_type AND b.origin = last AND b.node = a.node),
+hb AS (SELECT ab.event_type, 0 AS origin, node FROM ab JOIN en ON en.event_type = ab.event_type JOIN (SELECT event_type, min(d) AS d FROM ab GROUP BY 1) m ON m.event_type = ab.event_type AND m.d = ab.d),
+{BFS.format('nr', 'hb', 'node')}, lb(event_type, node, d, hub) AS (SELECT event_type, node, 0, node FROM hb UNION ALL
+  SELECT l.event_type, n.other, l.d + 1, min_by(l.hub, (abs(l.hub - n.other), l.hub)) FROM lb l JOIN nb n ON n.event_type = l.event_type AND n.node = l.node
+  JOIN nr r ON r.event_type = l.event_type AND r.node = n.other AND r.d = l.d + 1 GROUP BY 1, 2, 3),
+co AS (SELECT l.event_type, l.node, l.hub, h.community FROM lb l JOIN (SELECT event_type, node, row_number() OVER (PARTITION BY event_type ORDER BY node) - 1 AS community FROM hb) h ON h.event_type = l.event_type AND h.node = l.hub)"""
+
+
 def natural(spark, sf):
     rows = indexed_events(spark, sf)
     return rows, settle(visibility.natural_visibility(rows, KEY, "value"))
@@ -115,14 +141,33 @@ def local_clustering(spark, sf):
     return rounded(graph.clustering(natural(spark, sf)[1], KEY))
 
 
-@query("sampled_betweenness")
+@query("sampled_betweenness", f"""
+WITH RECURSIVE {NVG}, {NEIGHBOURS.format('nv')}, {PIVOTS.format(32)}, {BFS.format('bf', 'pv', 'origin')}, {SIGMA}, {DELTA},
+sz AS (SELECT event_type, count(DISTINCT node) AS n FROM nb GROUP BY 1), pc AS (SELECT event_type, count(*) AS p FROM pv GROUP BY 1)
+SELECT de.event_type, node, round(sum(CASE WHEN node <> origin THEN delta ELSE 0 END) * any_value(n) / any_value(p) / ((any_value(n) - 1) * (any_value(n) - 2)), 9) + 0.0 AS betweenness_centrality
+FROM de JOIN sz ON sz.event_type = de.event_type JOIN pc ON pc.event_type = de.event_type GROUP BY 1, 2
+""")
 def sampled_betweenness(spark, sf):
-    return graph.betweenness(natural(spark, sf)[1], KEY, 32)
+    return rounded(paths.betweenness(natural(spark, sf)[1], KEY, 32), 9)
 
 
-@query("sampled_closeness")
+@query("sampled_closeness", f"""
+WITH RECURSIVE {NVG}, {NEIGHBOURS.format('nv')}, {PIVOTS.format(32)}, {BFS.format('bf', 'pv', 'origin')}
+SELECT event_type, node, round(count(*) / sum(d), 9) AS closeness_centrality FROM bf WHERE d > 0 GROUP BY 1, 2
+""")
 def sampled_closeness(spark, sf):
-    return graph.closeness(natural(spark, sf)[1], KEY, 32)
+    return rounded(paths.closeness(natural(spark, sf)[1], KEY, 32), 9)
+
+
+@query("horizontal_betweenness", f"""
+WITH RECURSIVE {HVG}, {NEIGHBOURS.format('hv')}, {PIVOTS.format(8)}, {BFS.format('bf', 'pv', 'origin')}, {SIGMA}, {DELTA},
+sz AS (SELECT event_type, count(DISTINCT node) AS n FROM nb GROUP BY 1), pc AS (SELECT event_type, count(*) AS p FROM pv GROUP BY 1)
+SELECT de.event_type, node, round(sum(CASE WHEN node <> origin THEN delta ELSE 0 END) * any_value(n) / any_value(p) / ((any_value(n) - 1) * (any_value(n) - 2)), 9) + 0.0 AS betweenness_centrality
+FROM de JOIN sz ON sz.event_type = de.event_type JOIN pc ON pc.event_type = de.event_type GROUP BY 1, 2
+""")
+def horizontal_betweenness(spark, sf):
+    """Horizontal graphs, a third of whose nodes are inside chains."""
+    return rounded(paths.betweenness(settle(visibility.horizontal_visibility(indexed_events(spark, sf), KEY, "value")), KEY, 8), 9)
 
 
 @query("egonet_features", f"WITH {EGO} SELECT event_type, node, degree, nodes AS egonet_nodes, edges AS egonet_edges, round(weight, 4) AS egonet_total_weight FROM ego")
@@ -223,15 +268,17 @@ def average_edge_overlap(spark, sf):
 
 def horizontal_members(spark, sf):
     rows = indexed_events(spark, sf)
-    return rows, settle(graph.communities(settle(visibility.horizontal_visibility(rows, KEY, "value")), KEY))
+    return rows, settle(paths.communities(settle(visibility.horizontal_visibility(rows, KEY, "value")), KEY))
 
 
-@query("path_communities")
+@query("path_communities", f"{ROUTES} SELECT event_type, node, hub, community FROM co")
 def path_communities(spark, sf):
     return horizontal_members(spark, sf)[1]
 
 
-@query("community_sizes_and_bands")
+@query("community_sizes_and_bands", f"""
+{ROUTES} SELECT event_type, community, count(*) AS size, count(*) AS rows, min(node) AS first, max(node) AS last FROM co GROUP BY 1, 2
+""")
 def community_sizes_and_bands(spark, sf):
     rows, members = horizontal_members(spark, sf)
     bands = graph.community_bands(rows, members, KEY)

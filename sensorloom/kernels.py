@@ -429,7 +429,8 @@ def gram_cells(df: DataFrame, row: str, by: str | Sequence[str] | None = None) -
                 x = np.stack(part[row].to_numpy())
                 totals[key] = totals[key] + x.T @ x if key in totals else x.T @ x
         for key, total in totals.items():
-            yield pd.DataFrame({**dict(zip(by, key)), "i": range(len(total)), "v": total.tolist()})
+            keys = {c: pd.Series([None if pd.isna(k) else k] * len(total), dtype=object) for c, k in zip(by, key, strict=True)}
+            yield pd.DataFrame({**keys, "i": range(len(total)), "v": total.tolist()})
 
     fields = "".join(f"{c} {types[c]}, " for c in by)
     parts = df.select(*by, row).mapInPandas(partial, f"{fields}i int, v array<double>")

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sensorloom.kernels import IDX, attach, attach_stats, average_ranks, medians, names, order_index
+from sensorloom.kernels import IDX, attach, attach_stats, average_ranks, medians, names
 from sensorloom.operators.neighbours import lof
 from sensorloom.operators.scale import combine_scores
-from sensorloom.operators.split import hash_order
 from sensorloom.session import settle
 
 
@@ -270,27 +269,12 @@ def rescore_without_top(edges: DataFrame, keys, k: int = 2) -> DataFrame:
     return before.withColumn("round", F.lit("before")).unionByName(again.withColumn("round", F.lit("after")))
 
 
-def _each_graph(rows: DataFrame, by: list[str]) -> list[DataFrame]:
-    """The rows of every graph (the keys of the graphs reach the driver)."""
-    out = []
-    for key in rows.select(*by).distinct().sort(*by).collect() if by else [()]:
-        part = rows
-        for c, value in zip(by, key, strict=True):
-            part = part.where(F.col(c).eqNullSafe(F.lit(value)))
-        out.append(part)
-    return out
-
-
 def oddball_with_lof(scores: DataFrame, k: int = 20, keys=()) -> DataFrame:
     """Each graph's clique/star score averaged with the LOF of (nodes, edges) among its own nodes, both scaled to 0…1."""
-    by, scores, out = names(keys), settle(scores), None
-    for part in _each_graph(scores, by):
-        points = part.select(F.col("node").alias("id"), F.array(F.col("egonet_nodes").cast("double"), F.col("egonet_edges").cast("double")).alias("vec"))
-        rows = combine_scores(part.join(lof(points, k).withColumnRenamed("id", "node"), "node"), ["oddball_score", "lof"])
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return scores.withColumns({"lof": F.lit(None).cast("double"), "combined": F.lit(None).cast("double")})
-    return out
+    by, scores = names(keys), settle(scores)
+    points = scores.select(*by, F.col("node").alias("id"), F.array(F.col("egonet_nodes").cast("double"), F.col("egonet_edges").cast("double")).alias("vec"))
+    rows = attach(scores, lof(points, k, by=by).withColumnRenamed("id", "node"), [*by, "node"])
+    return combine_scores(rows, ["oddball_score", "lof"], by=by)
 
 
 def branches(scored: DataFrame, keys, log_edges_above: float = 6.0, n_branches: int = 4, min_points: int = 1000, min_cluster: int = 100, seed: int = 42) -> DataFrame:
@@ -367,117 +351,6 @@ def edge_overlap(edges: DataFrame, layer: str, kind: Sequence[str] = ()) -> Data
     return out.withColumn("average_edge_overlap", F.col("total_edges") / (F.col("layers") * F.col("distinct_edges")))
 
 
-# ------------------------------------------------------------------ shortest paths
-
-
-def pivots(edges: DataFrame, keys, n: int | None, seed: int = 42) -> DataFrame:
-    """``n`` hash-picked nodes per graph (all of them with ``None``): ``(keys…, pivot)``."""
-    by = names(keys)
-    nodes = degrees(edges, by)
-    if n is not None:
-        picked = top_nodes(nodes.withColumn("_h", hash_order([*by, "node"], seed)), by, "_h", n)
-        nodes = picked
-    return nodes.select(*by, F.col("node").alias("pivot"))
-
-
-def shortest_paths(edges: DataFrame, keys, sources: DataFrame) -> list[DataFrame]:
-    """Breadth-first levels from every source: ``(keys…, pivot, node, sigma)`` per distance."""
-    by = names(keys)
-    links = settle(both_ways(edges.select(*by, "src", "dst"), by))
-    state = [*by, "pivot", "node"]
-    level = settle(sources.select(*by, "pivot", F.col("pivot").alias("node"), F.lit(1.0).alias("sigma")))
-    levels = [level]
-    while True:
-        step = attach(links, levels[-1], [*by, "node"]).select(*by, "pivot", F.col("other").alias("node"), "sigma")
-        step = step.groupBy(*state).agg(F.sum("sigma").alias("sigma"))
-        # a neighbour of level d lies on level d-1, d or d+1, so two levels decide what is new
-        for earlier in levels[-2:]:
-            step = step.join(earlier.select(*state), state, "left_anti")
-        step = settle(step)
-        if step.isEmpty():
-            return levels
-        levels.append(step)
-
-
-def distances(levels: Sequence[DataFrame]) -> DataFrame:
-    out = None
-    for d, level in enumerate(levels):
-        one = level.withColumn("dist", F.lit(d))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def closeness(edges: DataFrame, keys, n_pivots: int | None = 2000, seed: int = 42) -> DataFrame:
-    """Pivots other than the node over the sum of their distances: (n-1)/Σd with all nodes as pivots."""
-    by = names(keys)
-    reached = distances(shortest_paths(edges, by, pivots(edges, by, n_pivots, seed))).where("dist > 0")
-    return reached.groupBy(*by, "node").agg((F.count(F.lit(1)) / F.sum("dist")).alias("closeness_centrality"))
-
-
-def betweenness(edges: DataFrame, keys, n_pivots: int | None = 1500, seed: int = 42) -> DataFrame:
-    """Share of shortest paths through each node, estimated from pivot sources; exact with all nodes as pivots.
-
-    Path counts run forward level by level; dependencies run back the same way.
-    Undirected and normalised by (n-1)(n-2).
-    """
-    by = names(keys)
-    chosen = settle(pivots(edges, by, n_pivots, seed))
-    levels = shortest_paths(edges, by, chosen)
-    links = settle(both_ways(edges.select(*by, "src", "dst"), by))
-    delta, total = None, None
-    for d in range(len(levels) - 1, 0, -1):
-        upper = levels[d]
-        upper = upper.withColumn("delta", F.lit(0.0)) if delta is None else attach(upper, delta, [*by, "pivot", "node"], "left")
-        upper = upper.withColumn("delta", F.coalesce("delta", F.lit(0.0)))
-        done = upper.select(*by, "pivot", "node", "delta")
-        total = done if total is None else total.unionByName(done)
-        sent = attach(links, upper.withColumn("_share", (1 + F.col("delta")) / F.col("sigma")), [*by, "node"])
-        sent = sent.select(*by, "pivot", F.col("other").alias("node"), "_share")
-        lower = levels[d - 1].select(*by, "pivot", "node", "sigma")
-        back = attach(sent, lower, [*by, "pivot", "node"])
-        delta = settle(back.groupBy(*by, "pivot", "node").agg(F.sum(F.col("_share") * F.col("sigma")).alias("delta")))
-    sums = total.groupBy(*by, "node").agg(F.sum("delta").alias("_d"))
-    nodes = degrees(edges, by).select(*by, "node")
-    sizes = attach(nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), chosen.groupBy(*by).agg(F.count(F.lit(1)).alias("_p")), by)
-    rows = attach_stats(attach(nodes, sums, [*by, "node"], "left"), sizes, by)
-    pairs = (F.col("_n") - 1.0) * (F.col("_n") - 2.0)
-    value = F.coalesce(F.try_divide(F.coalesce("_d", F.lit(0.0)) * F.col("_n") / F.col("_p"), pairs), F.lit(0.0))
-    return rows.select(*by, "node", value.alias("betweenness_centrality"))
-
-
-def communities(edges: DataFrame, keys) -> DataFrame:
-    """Communities around the shortest routes between the two ends of the series.
-
-    Hubs are the nodes on a shortest path from the first to the last node.  Every
-    node joins its nearest hub by graph distance, then by distance in time, then
-    the earlier hub; unreachable nodes get -1.  Communities are numbered by hub
-    order.
-    """
-    by = names(keys)
-    deg = degrees(edges, by)
-    ends = settle(deg.groupBy(*by).agg(F.min("node").alias("_first"), F.max("node").alias("_last")))
-    sources = ends.select(*by, F.explode(F.array("_first", "_last")).alias("pivot"))
-    far = settle(attach(distances(shortest_paths(edges, by, sources)), ends, by))
-    seen = far.groupBy(*by, "node").agg(
-        F.max(F.when(F.col("pivot") == F.col("_first"), F.col("dist"))).alias("_a"), F.max(F.when(F.col("pivot") == F.col("_last"), F.col("dist"))).alias("_b"))
-    length = far.where((F.col("pivot") == F.col("_first")) & (F.col("node") == F.col("_last"))).select(*by, F.col("dist").alias("_len"))
-    hubs = settle(attach_stats(seen, length, by).where(F.col("_a") + F.col("_b") == F.col("_len")).select(*by, "node"))
-    links = settle(both_ways(edges.select(*by, "src", "dst"), by))
-    settled = hubs.withColumn("hub", F.col("node"))
-    frontier, done = settled, settled
-    while True:
-        step = attach(links, frontier, [*by, "node"]).select(*by, F.col("other").alias("node"), "hub")
-        step = step.join(done.select(*by, "node"), [*by, "node"], "left_anti")
-        frontier = settle(step.groupBy(*by, "node").agg(F.min_by("hub", F.struct(F.abs(F.col("hub") - F.col("node")), "hub")).alias("hub")))
-        if frontier.isEmpty():
-            break
-        done = done.unionByName(frontier)
-    numbered = order_index(hubs, by, "node", "community").withColumnRenamed("node", "hub")
-    rows = attach(done, numbered, [*by, "hub"])
-    return attach(deg.select(*by, "node"), rows, [*by, "node"], "left").select(
-        *by, "node", "hub", F.coalesce("community", F.lit(-1)).alias("community"))
-
-
 def community_sizes(members: DataFrame, keys) -> DataFrame:
     return members.groupBy(*names(keys), "community").agg(F.count(F.lit(1)).alias("size"))
 

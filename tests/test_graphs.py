@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators import graph, visibility
+from sensorloom.operators import graph, paths, visibility
 
 
 def series_frame(spark, values):
@@ -143,19 +143,19 @@ def bfs(a, start):
 
 def test_exact_centralities(spark, small):
     df, edges = small
-    close = {(r["s"], r["node"]): r["closeness_centrality"] for r in graph.closeness(df, "s", None).collect()}
-    between = {(r["s"], r["node"]): r["betweenness_centrality"] for r in graph.betweenness(df, "s", None).collect()}
+    close = {(r["s"], r["node"]): r["closeness_centrality"] for r in paths.closeness(df, "s", None).collect()}
+    between = {(r["s"], r["node"]): r["betweenness_centrality"] for r in paths.betweenness(df, "s", None).collect()}
     for s in ("a", "b"):
         a = adjacency(edges, s)
         n = len(a)
-        paths = [bfs(a, i) for i in range(n)]
+        found = [bfs(a, i) for i in range(n)]
         for v in range(n):
-            assert close[s, v] == pytest.approx((n - 1) / sum(paths[v][0].values()))
+            assert close[s, v] == pytest.approx((n - 1) / sum(found[v][0].values()))
             share = 0.0
             for i in range(n):
                 for j in range(n):
-                    if len({i, j, v}) == 3 and paths[i][0][v] + paths[v][0][j] == paths[i][0][j]:
-                        share += paths[i][1][v] * paths[v][1][j] / paths[i][1][j]
+                    if len({i, j, v}) == 3 and found[i][0][v] + found[v][0][j] == found[i][0][j]:
+                        share += found[i][1][v] * found[v][1][j] / found[i][1][j]
             assert between[s, v] == pytest.approx(share / ((n - 1) * (n - 2)))
 
 
@@ -176,15 +176,15 @@ def test_egonets_and_eigenvalues(spark, small, limit):
 
 def test_communities_cover_all_nodes(spark, small):
     df, edges = small
-    rows = graph.communities(df, "s").toPandas()
+    rows = paths.communities(df, "s").toPandas()
     for s in ("a", "b"):
         a, part = adjacency(edges, s), rows[rows["s"] == s].set_index("node")
         n = len(a)
-        paths = [bfs(a, i)[0] for i in range(n)]
-        hubs = [v for v in range(n) if paths[0][v] + paths[v][n - 1] == paths[0][n - 1]]
+        found = [bfs(a, i)[0] for i in range(n)]
+        hubs = [v for v in range(n) if found[0][v] + found[v][n - 1] == found[0][n - 1]]
         for v in range(n):
-            want = min(hubs, key=lambda h: (paths[v][h], abs(h - v), h))
-            assert paths[v][part.loc[v, "hub"]] == paths[v][want]
+            want = min(hubs, key=lambda h: (found[v][h], abs(h - v), h))
+            assert found[v][part.loc[v, "hub"]] == found[v][want]
             if v in hubs:
                 assert part.loc[v, "hub"] == v
         assert part["community"].min() == 0 and part["community"].max() == len(hubs) - 1

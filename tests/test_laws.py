@@ -94,6 +94,32 @@ def test_neighbours_are_exact_across_blocks(spark):
         assert [n for _, n in got[i]] == order.tolist()
 
 
+@pytest.mark.parametrize(("block", "fan"), [(40, 4), (5000, 64)])
+def test_neighbours_of_groups_in_one_search(spark, block, fan):
+    """Trees of several levels, a group of equal points, one smaller than k, a null key, and queries that are no targets."""
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=(300, 2)), "b": np.repeat(rng.normal(size=(3, 2)), 50, axis=0), "c": rng.normal(size=(3, 2)), None: rng.normal(size=(70, 2)) * 5}
+    rows = [(g, i, [float(v) for v in p]) for g, ps in groups.items() for i, p in enumerate(ps)]
+    asked = [(g, 1000 + i, [float(v) for v in p]) for g, ps in groups.items() for i, p in enumerate(rng.normal(size=(20, 2)) * 2)]
+    frame = lambda r: spark.createDataFrame(r, "g string, id long, vec array<double>").repartition(3)
+    for queries, skip in ((rows, True), (asked, False)):
+        got = {(r.g, r.id): [n["id"] for n in r.near] for r in neighbours.nearest(frame(queries), frame(rows), 6, skip, block, "g", fan).collect()}
+        want = {}
+        for g, i, v in queries:
+            d = np.sqrt(((groups[g] - np.array(v)) ** 2).sum(axis=1))
+            order = [j for j in np.lexsort((np.arange(len(d)), d)).tolist() if not skip or j != i]
+            want[g, i] = order[:6]
+        assert got == want
+
+
+def test_compared_pairs_stay_below_all_pairs_in_two_dimensions(spark):
+    points = np.random.default_rng(1).normal(size=(4000, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "id long, vec array<double>")
+    loads = []
+    assert neighbours.nearest(df, df, 20, True, 256, fan=16, loads=loads).count() == 4000
+    assert sum(loads) < 0.5 * 4000**2
+
+
 def test_outlier_models_flag_an_outlier(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 2))
