@@ -99,44 +99,51 @@ class Profiles:
         self.size = size
         self.index = np.full(1 << GRAM_BITS, -1, np.int32)
         self.index[grams] = np.arange(len(grams))
-        self.ranks = np.full((len(self.langs), len(grams)), size, np.int32)
+        self.ranks = np.full((len(self.langs), len(grams)), -1, np.int32)
         for lang, gram, rank in rows:
             self.ranks[self.langs.index(lang), place[gram]] = rank
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language with the least out-of-place distance (the first by name on ties) and 1 - distance / worst distance."""
+        """Language with the least out-of-place distance (the first by name on ties) and 1 - distance / worst distance.
+
+        All grams of a text are ranked (equal counts by code) and its ``size`` most frequent compared; one that no profile holds is ``size`` places out like one
+        that a profile lacks, so a text of a language that was not learned scores low.
+        """
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return names, scores
         codes, owner, lettered = gram_codes(texts)
-        known = self.index[codes]
-        hit = known >= 0
-        width = self.ranks.shape[1]
-        counts = np.bincount(owner[hit] * width + known[hit], minlength=len(texts) * width).reshape(len(texts), width)
-        order = np.argsort(-counts, axis=1, kind="stable")[:, : self.size]
-        used = np.take_along_axis(counts, order, axis=1) > 0
-        place = np.arange(order.shape[1])[None, :]
-        distance = np.stack([(np.abs(r[order] - place) * used).sum(axis=1) for r in self.ranks])
+        key = np.sort((owner.astype(np.int64) << GRAM_BITS) | codes)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        count, key = np.diff(np.append(first, len(key))), key[first]
+        text, gram = key >> GRAM_BITS, key & ((1 << GRAM_BITS) - 1)
+        order = np.lexsort((gram, -count, text))
+        text, gram = text[order], gram[order]
+        start = np.searchsorted(text, np.arange(len(texts) + 1))
+        place = np.arange(len(text)) - start[text]
+        used = place < self.size
+        text, place, known = text[used], place[used], self.index[gram[used]]
+        rank = self.ranks[:, known]
+        out = np.where((known >= 0) & (rank >= 0), np.abs(rank - place[None, :]), self.size)
+        distance = np.stack([np.bincount(text, weights=row, minlength=len(texts)) for row in out])
         best = distance.argmin(axis=0)
-        worst = np.maximum(used.sum(axis=1) * self.size, 1)
+        worst = np.bincount(text, minlength=len(texts)) * self.size
         for i in np.flatnonzero(lettered):
             names[i] = self.langs[best[i]]
-        scores = np.where(lettered & used.any(axis=1), 1 - distance[best, np.arange(len(texts))] / worst, 0.0)
+        scores = np.where(lettered & (worst > 0), 1 - distance[best, np.arange(len(texts))] / np.maximum(worst, 1), 0.0)
         return names, np.clip(scores, 0.0, 1.0)
 
 
 def identify(docs: DataFrame, profiles: DataFrame, size: int = PROFILE):
     """Column function text -> struct(lang_pred, score) from learned profiles (``size`` rows per language reach the driver)."""
-    rows = [(r["lang"], r["gram"], r["rank"]) for r in profiles.collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    sent = docs.sparkSession.sparkContext.broadcast(Profiles([(r["lang"], r["gram"], r["rank"]) for r in profiles.collect()], size))
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        tool = Profiles(sent.value, size)
+        tool = sent.value
         values = texts.fillna("").tolist()
         names, scores = [], []
-        wide = max(1, (1 << 22) // max(1, tool.ranks.shape[1]))
-        for part in pieces([max(len(t), CHUNK_CHARS // wide) for t in values], CHUNK_CHARS):
+        for part in pieces([len(t) for t in values], max(1, CHUNK_CHARS // max(1, len(tool.langs) // 8))):
             got = tool.predict(values[part])
             names += got[0]
             scores += got[1].tolist()

@@ -25,7 +25,7 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_WORDS = 64
+BLOCK_WORDS = 64  # at least; twice as many as the longest template
 
 
 def words_of(text: Column) -> Column:
@@ -66,10 +66,11 @@ def template_index(words: DataFrame, templates: dict[str, str], threshold: float
     return order, index
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: float = 0.8, templates: dict[str, str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", doc: str = "doc_id", threshold: float = 0.8, templates: dict[str, str] | None = None, block_words: int | None = None) -> DataFrame:
     """One row per input row: phrase places, and labels of the templates contained in a block of the text.
 
-    A block is ``block_words`` consecutive words (a new one every half of that), a template is contained if at least ``threshold`` of its distinct words
+    A block is ``block_words`` consecutive words (a new one every half of that), by default twice as many as the longest template has, so a copy of any template lies whole in some
+    block wherever it stands; a template is contained if at least ``threshold`` of its distinct words
     are in the block.  The set-similarity join is exact: words are ordered by their frequency over all documents, a
     template is looked up by its rarest words only (prefix filter), blocks with too few words (length filter) or with
     too few words left after the first common one (positional filter) are dropped, and the rest is verified.
@@ -78,6 +79,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc: str = "doc_id", thre
     Null and empty texts have no words, no labels ('') and score 0.  Copies of a row get the same result; an empty table gives an empty one.
     """
     templates = TEMPLATES if templates is None else templates
+    block_words = block_words or max(BLOCK_WORDS, 2 * max((len(t.split()) for t in templates.values()), default=0))
     rows = docs.select(F.col(doc).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"), words_of(F.col(text)).alias("_words"))
     order, index = template_index(rows, templates, threshold)
 

@@ -18,12 +18,12 @@ MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 #: An empty gzip member. Spark's text writer puts it between the rows, each of which is a whole member.
 EMPTY_MEMBER = MAGIC + bytes(6) + b"\xff\x03" + bytes(9)
-HEADER_BYTES = 1 << 16
+FILE_BYTES = 32 << 20
 _FEED = 1 << 16
 ID_PREFIX = "urn:record:"
 RECORD_SCHEMA = (
     "path string, offset long, length long, reason string, record_type string, record_id string, target_uri string, refers_to string, "
-    "payload_bytes long, payload_digest string, payload binary"
+    "payload_bytes long, payload_digest string, payload binary, inner_offset long, inner_length long"
 )
 
 
@@ -58,6 +58,8 @@ def record_bytes(kind: str, record_id: str, uri: str | None, payload: bytes, dig
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 4) -> None:
     """Write one gzip member per row under ``path``, through Spark's own writer, so any file system Spark knows will do.
 
+    A file holds about ``FILE_BYTES`` of members, or one larger member.
+
     Of rows with equal payloads of at least ``min_bytes`` bytes, those with the largest key are responses and the others revisits
     that refer to it; smaller payloads are all responses.  A null payload is empty, a null url is left out, a null key sorts lowest and is written as an empty id; repeated
     rows are all written.  Digests are grouped without payloads; the payload moves once, to meet its group, and a
@@ -76,16 +78,22 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     columns = met.columns
 
-    def members(batches):
+    def files(batches):
+        held, size = [], 0
         for batch in batches:
-            yield pd.DataFrame({"member": [
-                gzip.compress(record_bytes("response" if refers is None else "revisit", name or "", uri, bytes(data), digest, refers, date), level, mtime=0)
-                for name, uri, data, digest, refers in zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in columns), strict=True)
-            ]})
-
-    met.mapInPandas(members, "member binary").select(F.col("member").cast("string").alias("value")).write.option(
+            for name, uri, data, digest, refers in zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in columns), strict=True):
+                made = gzip.compress(record_bytes("response" if refers is None else "revisit", name or "", uri, bytes(data), digest, refers, date), level, mtime=0)
+                if held and size + len(made) > FILE_BYTES:
+                    yield pd.DataFrame({"members": [b"".join(held)]})
+                    held, size = [], 0
+                held.append(made)
+                size += len(made)
+        if held:
+            yield pd.DataFrame({"members": [b"".join(held)]})
+
+    met.mapInPandas(files, "members binary").select(F.col("members").cast("string").alias("value")).write.option(
         "encoding", "ISO-8859-1"
-    ).option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 20_000).text(path)
+    ).option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 class Damaged(ValueError):
@@ -96,7 +104,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], int, int, int]:
     """Checked header fields, start and end of the block, and end of the record at ``at``."""
     if not _VERSION_LINE.match(data, at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("no end of header")
     fields = {}
@@ -140,46 +148,92 @@ def _row(data: bytes, fields: dict[str, str], start: int, stop: int, with_payloa
     }
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``; fed in small blocks, as what follows the member is copied."""
-    tool, out, pos = zlib.decompressobj(31), [], at
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content and end of the gzip member at ``at``; if it is damaged, what it gave before the damage, and why it ended there.
+
+    It is fed in small blocks, as what follows the member is copied.
+    """
+    tool, out, pos, why = zlib.decompressobj(31), [], at, None
     try:
         while not tool.eof and pos < len(data):
             out.append(tool.decompress(data[pos : pos + _FEED]))
             pos += _FEED
-    except zlib.error as error:
-        raise Damaged("gzip data") from error
-    if not tool.eof:
-        raise Damaged("gzip member is cut off")
-    return b"".join(out), min(pos, len(data)) - len(tool.unused_data)
-
-
-def _at(data: bytes, at: int, with_payload: bool) -> tuple[list[dict], int]:
-    """The records of the valid member or plain record at ``at``, and its end."""
-    if data.startswith(MAGIC, at):
-        inner, end = _member(data, at)
-        found, pos = [], 0
-        while pos < len(inner):
-            fields, start, stop, pos = parse_record(inner, pos)
-            found.append(_row(inner, fields, start, stop, with_payload))
-        return found, end
-    fields, start, stop, end = parse_record(data, at)
-    return [_row(data, fields, start, stop, with_payload)], end
+    except zlib.error:
+        why = "gzip data"
+        # the block in which the damage lies, in ever smaller steps
+        tool, out, low, step = zlib.decompressobj(31), [], at, _FEED
+        while step and low < len(data):
+            before = tool.copy()
+            try:
+                out.append(tool.decompress(data[low : low + step]))
+                low += step
+            except zlib.error:
+                tool, step = before, step // 2
+    if why is None and not tool.eof:
+        why = "gzip member is cut off"
+    return b"".join(out), min(pos, len(data)) - len(tool.unused_data), why
+
+
+def _verified(data: bytes, fields: dict[str, str], row: dict) -> bool:
+    """Whether a digest stands for the record, as it must where nothing else does."""
+    return fields.get("warc-block-digest", "").startswith("sha1:") or row["record_type"] != "revisit" and fields.get("warc-payload-digest", "").startswith("sha1:")
+
+
+def _inside(data: bytes, with_payload: bool, whole: bool) -> Iterator[dict]:
+    """Records of inflated bytes and the gaps between them, by the same search; of a damaged member only records with a digest."""
+    at, gap, why = 0, None, None
+    while at < len(data):
+        try:
+            fields, start, stop, end = parse_record(data, at)
+            row = _row(data, fields, start, stop, with_payload)
+            if not whole and not _verified(data, fields, row):
+                raise Damaged("no digest in a damaged member")
+        except Damaged as error:
+            if gap is None:
+                gap, why = at, str(error)
+            found = data.find(VERSION, at + 1)
+            at = found if found >= 0 else len(data)
+            continue
+        if gap is not None:
+            yield {"inner_offset": gap, "inner_length": at - gap, "reason": why}
+            gap = None
+        yield {"inner_offset": at, "inner_length": end - at, **row}
+        at = end
+    if gap is not None:
+        yield {"inner_offset": gap, "inner_length": len(data) - gap, "reason": why}
 
 
 def salvage(data: bytes, with_payload: bool = True) -> Iterator[dict]:
     """Records of an archive in order, and a row with a ``reason`` for every run of bytes that belongs to none.
 
-    Where a check fails, the search goes on at the next gzip magic or version line that starts a valid member or record.
+    Where a check fails, the search goes on at the next gzip magic or version line that starts a valid member or record.  The same search runs in
+    the inflated bytes of a member: what lies around a bad record is kept, and ``inner_offset`` and ``inner_length`` say where in them a record or a gap is.  Of a member that
+    does not inflate to its end, the records before the damage are kept if their digests agree; they have length 0, since the member's bytes are a gap.
     """
     at, gap, why = 0, None, None
     following = {MAGIC: -1, VERSION: -1}
     while at < len(data):
-        try:
-            found, end = _at(data, at, with_payload)
-        except Damaged as error:
+        rows, end, reason = [], at, None
+        if data.startswith(MAGIC, at):
+            inner, end, reason = _member(data, at)
+            rows = list(_inside(inner, with_payload, reason is None))
+            if inner and reason is None and all(r.get("reason") for r in rows):
+                rows = [{"reason": rows[0]["reason"]}]  # a member without any record is one gap
+        else:
+            try:
+                fields, start, stop, end = parse_record(data, at)
+                rows = [_row(data, fields, start, stop, with_payload)]
+            except Damaged as error:
+                reason = str(error)
+        if reason is not None:
+            saved = [r for r in rows if not r.get("reason")]
+            if saved and gap is not None and gap < at:
+                yield {"offset": gap, "length": at - gap, "reason": why}
+                gap = None
+            for row in saved:
+                yield {"offset": at, "length": 0, **row}
             if gap is None:
-                gap, why = at, str(error)
+                gap, why = at, reason
             for mark in following:
                 if following[mark] <= at:
                     following[mark] = p if (p := data.find(mark, at + 1)) >= 0 else len(data)
@@ -188,7 +242,7 @@ def salvage(data: bytes, with_payload: bool = True) -> Iterator[dict]:
         if gap is not None:
             yield {"offset": gap, "length": at - gap, "reason": why}
             gap = None
-        for row in found:
+        for row in rows:
             yield {"offset": at, "length": end - at, **row}
         at = end
     if gap is not None:
@@ -198,7 +252,7 @@ def salvage(data: bytes, with_payload: bool = True) -> Iterator[dict]:
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Rows of ``RECORD_SCHEMA`` for all archives under ``path``, plain or gzip: records (``reason`` null) and quarantined gaps (with a reason).
 
-    A file is one task's; Spark reads it whole, so archives should be of ordinary size (far below its 2 GB limit for a value).
+    A file is one task's; Spark reads it whole, so archives should be of ordinary size (far below its 2 GB limit for a value; the writer keeps to ``FILE_BYTES``).
     """
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
 
@@ -219,6 +273,6 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     frame = pd.DataFrame({n: [r.get(n) for r in rows] for n in names}, dtype=object)
-    for n in ("offset", "length", "payload_bytes"):
+    for n in ("offset", "length", "payload_bytes", "inner_offset", "inner_length"):
         frame[n] = frame[n].astype("Int64")
     return frame

@@ -41,14 +41,19 @@ def test_distance_equals_plain_loop():
         order = np.lexsort((grams, -n))[:30]
         rows += [(lang, int(grams[i]), k) for k, i in enumerate(order)]
     tool = langid.Profiles(rows, 30)
-    for text in ("the end of it", "ein Haus und der Baum", "AND THE"):
+    for text in ("the end of it", "ein Haus und der Baum", "AND THE", "日本語 テキスト", "the 日本語"):
         names, scores = tool.predict([text])
-        known = sorted({g for _, g, _ in rows})
         codes = langid.gram_codes([text])[0].tolist()
-        ranked = sorted((g for g in set(codes) if g in known), key=lambda g: (-codes.count(g), known.index(g)))[:30]
+        ranked = sorted(set(codes), key=lambda g: (-codes.count(g), g))[:30]
         distance = {}
         for lang in words:
             rank = {g: k for name, g, k in rows if name == lang}
-            distance[lang] = sum(abs(rank.get(g, 30) - k) for k, g in enumerate(ranked))
+            distance[lang] = sum(abs(rank[g] - k) if g in rank else 30 for k, g in enumerate(ranked))
         best = min(sorted(distance), key=distance.get)
         assert names == [best] and np.isclose(scores[0], max(0, 1 - distance[best] / (30 * len(ranked))))
+
+
+def test_a_language_that_was_not_learned_scores_low(spark):
+    rows = [(k, "the cat and the dog ran to the old house of the king and slept there " * 3, "en") for k in range(40)] + [(1000, "日本語のテキストです、これは長い文章で the", None)]
+    got = {r.doc_id: r.score for r in langid.identify_held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1000] < 0.2 and min(v for k, v in got.items() if k < 1000) > 0.8

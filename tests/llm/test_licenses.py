@@ -47,3 +47,10 @@ def test_repeats_and_empty_table(spark):
     assert licenses.scan_licenses(awkward(spark)).count() == len(AWKWARD)
     assert licenses.scan_licenses(awkward(spark, [])).collect() == []
     assert "Python" not in licenses.scan_licenses(awkward(spark))._jdf.queryExecution().toString()
+
+
+def test_a_long_template_is_found_at_every_offset(spark):
+    template = " ".join(f"w{i}" for i in range(150))
+    docs = spark.createDataFrame([(k, "x " * k + template + " y" * (k % 7) * 50) for k in range(320)] + [(999, "x " * 400 + template[: len(template) // 2])], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs, templates={"long": template, "short": "q1 q2"}).collect()}
+    assert {k for k, v in got.items() if v == "long"} == set(range(320))

@@ -90,3 +90,53 @@ def test_wrong_length_and_digest_are_noticed():
     for bad in (good.replace(b"payload 3 p", b"payload X p"), good.replace(b"Content-Length: 2", b"Content-Length: 1", 2)):
         rows = list(warc.salvage(bad + plain(4)))
         assert rows[0]["reason"] and rows[-1]["record_id"] == "4"
+
+
+def members_of(spark, path):
+    return [r.asDict() for r in warc.read_archives(spark, path).collect()]
+
+
+def test_long_headers_come_back(spark, tmp_path):
+    rows = [(k, "http://x/" + "é" * n, f"page {k}") for k, n in enumerate([3, 22_000, 400_000])]
+    got = members_of(spark, written(spark, tmp_path, rows))
+    assert sorted(r["record_id"] for r in got) == ["0", "1", "2"] and all(r["reason"] is None for r in got)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    noise = random.Random(3)
+    rows = [(k, "u", "".join(chr(noise.randrange(32, 1000)) for _ in range(900))) for k in range(60)]
+    path = written(spark, tmp_path, rows)
+    sizes = [len(open(name, "rb").read()) for name in glob.glob(f"{path}/part-*")]
+    assert max(sizes) <= 4000 + len(warc.EMPTY_MEMBER) and len(sizes) > 10
+    assert sorted(int(r["record_id"]) for r in members_of(spark, path)) == list(range(60))
+
+
+def test_salvage_inside_one_member():
+    """Six records in one member: a bad digest costs its own record, a member cut short those behind the cut."""
+    inner = [plain(k) for k in range(6)]
+    bad = b"".join([*inner[:2], inner[2].replace(b"payload 2 p", b"payload X p"), *inner[3:]])
+    rows = list(warc.salvage(gzip.compress(bad, mtime=0)))
+    assert [r.get("record_id") for r in rows] == ["0", "1", None, "3", "4", "5"]
+    assert rows[2]["reason"] and (rows[2]["inner_offset"], rows[2]["inner_length"]) == (len(inner[0] + inner[1]), len(inner[2]))
+    assert {(r["offset"], r["length"]) for r in rows} == {(0, len(gzip.compress(bad, mtime=0)))}
+
+    many = [plain(k, random.Random(k).randbytes(300)) for k in range(200)]
+    packed = gzip.compress(b"".join(many), mtime=0)
+    behind = gzip.compress(plain(900), mtime=0)
+    rows = list(warc.salvage(packed[:-20] + behind))
+    ids = [r["record_id"] for r in rows if r.get("record_id")]
+    assert ids[-1] == "900" and ids[:190] == [str(k) for k in range(190)]
+    covered = [(r["offset"], r["offset"] + r["length"]) for r in rows]
+    assert covered[0][0] == 0 and covered[-1][1] == len(packed) - 20 + len(behind) and all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
+    hurt = bytearray(packed)
+    hurt[len(packed) // 2] ^= 4
+    rows = list(warc.salvage(b"junk" + bytes(hurt) + behind))
+    ids = [r["record_id"] for r in rows if r.get("record_id")]
+    assert ids[-1] == "900" and len(ids) > 80 and set(map(str, range(90))) <= set(ids) and ids == sorted(ids, key=int)
+    assert rows[0]["length"] == 4 and rows[0]["reason"]
+
+
+def test_a_member_without_records_is_one_gap():
+    data = gzip.compress(b"no record at all", mtime=0)
+    assert [(r["offset"], r["length"], bool(r["reason"])) for r in warc.salvage(data + gzip.compress(plain(1), mtime=0)) if r.get("reason")] == [(0, len(data), True)]
