@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sensorloom.catalog.base import EV, LI, events, indexed_events, lines, query, rounded, table
 from sensorloom.kernels import IDX, order_index
 from sensorloom.operators import graph, quant, split, windows
-from sensorloom.session import scratch_dir, settle
+from sensorloom.session import folder, settle
 from sensorloom.streaming import operators as streaming
 
 # ------------------------------------------------------------------ I
@@ -139,7 +139,7 @@ def event_stream(spark, sf):
 
 
 def drained(spark, stream):
-    return streaming.drain(stream, f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}")
+    return streaming.drain(stream, f"{folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query("streamed_count_windows", f"""
@@ -152,6 +152,43 @@ def streamed_count_windows(spark, sf):
     return rounded(out.select("event_type", "window_id", total.alias("total"), F.col("values")[0].alias("first_value"), F.col("values")[29].alias("last_value")), 4)
 
 
+def batched_stream(spark, sf, n: int = 20):
+    """Events as a stream of ``n`` batches, by the remainder of their number; each batch reaches over the whole time."""
+    path = f"{folder(spark)}/batches-{uuid.uuid4().hex}"
+    rows = settle(events(spark, sf))
+    for k in range(n):
+        rows.where(F.col("event_id") % n == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+BATCHES = f"""{EV}, bt AS (SELECT *, event_id % 20 AS batch FROM ev), qn AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY batch, ts, event_id) - 1 AS place FROM bt)"""
+
+
+@query("streamed_windows_once_a_batch", f"""
+WITH RECURSIVE {BATCHES}, ct AS (SELECT event_type, batch, count(*) AS n FROM bt GROUP BY 1, 2), gd AS (SELECT event_type, batch, coalesce(n, 0) AS n FROM (SELECT DISTINCT event_type FROM ev) CROSS JOIN range(20) r(batch) LEFT JOIN ct USING (event_type, batch)),
+st(event_type, batch, held, fired, done) AS (SELECT DISTINCT event_type, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM ev UNION ALL
+  SELECT s.event_type, s.batch + 1, CASE WHEN held + n >= 30 THEN 0 ELSE held + n END, CASE WHEN held + n >= 30 THEN fired + 1 ELSE fired END, s.done + n FROM st s JOIN gd ON gd.event_type = s.event_type AND gd.batch = s.batch + 1),
+fi AS (SELECT event_type, fired - 1 AS window_id, done FROM (SELECT *, lag(fired) OVER (PARTITION BY event_type ORDER BY batch) AS f0 FROM st) WHERE fired > f0)
+SELECT f.event_type, window_id, round(sum(value), 4) AS total, arg_min(value, place) AS first_value, arg_max(value, place) AS last_value FROM fi f JOIN qn ON qn.event_type = f.event_type AND place >= done - 30 AND place < done GROUP BY 1, 2
+""")
+def streamed_windows_once_a_batch(spark, sf):
+    """Twenty batches; a full window waits for the end of its batch while newer rows push out the oldest."""
+    out = drained(spark, streaming.count_windows(batched_stream(spark, sf), "event_type", ["ts", "event_id"], "value", 30, "per_batch"))
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return rounded(out.select("event_type", "window_id", total.alias("total"), F.col("values")[0].alias("first_value"), F.col("values")[29].alias("last_value")), 4)
+
+
+@query("late_rows", """
+WITH b AS (SELECT event_type, event_id % 20 AS batch, epoch_ms(ts) AS t FROM events), m AS (SELECT batch, max(t) AS latest FROM b GROUP BY 1),
+w AS (SELECT batch, max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000 AS bar FROM m)
+SELECT event_type, count(*) AS n, count(*) FILTER (WHERE t + 900000 <= bar) AS late, count(*) FILTER (WHERE bar IS NULL OR t + 900000 > bar) AS kept FROM b JOIN w USING (batch) GROUP BY 1
+""")
+def late_rows(spark, sf):
+    """What gap sessions of twenty batches (a day's watermark) keep and drop; every row is one or the other."""
+    marked = drained(spark, streaming.marked_late(batched_stream(spark, sf), "ts", "15 minutes", "1 day"))
+    return marked.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("kept"))
+
+
 @query("streamed_standardisation", """
 WITH p AS (SELECT event_type, avg(value) AS c, stddev_pop(value) AS s FROM events GROUP BY 1)
 SELECT event_id, round((value - c) / s, 6) + 0.0 AS z FROM events e JOIN p ON p.event_type = e.event_type

@@ -13,7 +13,7 @@ from sensorloom.catalog.base import (
 )
 from sensorloom.kernels import order_index
 from sensorloom.operators import align, split, windows
-from sensorloom.session import scratch_dir
+from sensorloom.session import folder
 from sensorloom.sources import tables
 
 # ------------------------------------------------------------------ A
@@ -74,7 +74,7 @@ def files_with_lineage(spark, sf):
 SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, min(event_id) AS first_id FROM events GROUP BY event_type
 """)
 def csv_round_trip(spark, sf):
-    out = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    out = f"{folder(spark)}/csv-{uuid.uuid4().hex}"
     tables.write_table(events(spark, sf), out, "csv", by=["event_type"])
     back = tables.read_tables(spark, out, "csv", "ts TIMESTAMP_NTZ, event_id BIGINT, value DOUBLE, event_type STRING")
     return rounded(back.groupBy("event_type").agg(

@@ -257,3 +257,21 @@ def test_streams_over_many_small_batches(spark, tmp_path):
             pos, neg = max(0.0, pos + v - 0.1 - 0.3), max(0.0, neg - (v - 0.1 + 0.3))
             want.append((pos, neg))
         assert np.allclose(walked[walked["s"] == key][["cusum_pos", "cusum_neg"]], want)
+
+
+def test_late_rows_and_sessions_cover_all_rows(spark, tmp_path):
+    """The session window drops rows that are marked late and no others."""
+    from sensorloom.streaming import operators as streaming
+
+    rng = np.random.default_rng(2)
+    seconds = np.concatenate([np.arange(0, 400, 4), rng.integers(0, 400, 60)])
+    for i in range(8):
+        part = pd.DataFrame({"k": "a", "ts": pd.to_datetime(seconds[i * 20 : (i + 1) * 20], unit="s")})
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame(pd.DataFrame({"k": ["end"], "ts": pd.to_datetime([9000], unit="s")})).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    reader = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1)
+    marked = streaming.drain(streaming.marked_late(reader.parquet(f"{tmp_path}/in"), "ts", "5 seconds", "20 seconds"), f"{tmp_path}/m").where("k = 'a'")
+    runs = streaming.drain(streaming.gap_sessions(reader.parquet(f"{tmp_path}/in"), "k", "ts", "5 seconds", "20 seconds", 1, 10**6), f"{tmp_path}/s").where("k = 'a'")
+    late = marked.where("late").count()
+    assert 0 < late < 60 and marked.count() == 160
+    assert 160 - late <= runs.agg(F.sum("n")).first()[0] < 160
