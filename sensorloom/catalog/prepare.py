@@ -455,7 +455,8 @@ def strided_windows(spark, sf):
 WITH {HR}, f AS (SELECT idx, {', '.join(f'''coalesce(last_value({e} IGNORE NULLS) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING),
   first_value({e} IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {e}''' for e in EVENT_TYPES if e != 'purchase')} FROM hr),
 d AS (SELECT idx // 2 AS idx, {', '.join(e for e in EVENT_TYPES if e != 'purchase')} FROM f WHERE idx % 2 = 0),
-z AS (SELECT idx, {', '.join(f'({e} - avg({e}) OVER ()) / stddev_pop({e}) OVER () AS {e}' for e in EVENT_TYPES if e != 'purchase')} FROM d),
+tr AS (SELECT * FROM d WHERE idx < floor(((SELECT count(*) FROM d) - 24 - 4 + 1) * 0.8::DOUBLE)),
+z AS (SELECT idx, {', '.join(f'({e} - (SELECT avg({e}) FROM tr)) / (SELECT stddev_pop({e}) FROM tr) AS {e}' for e in EVENT_TYPES if e != 'purchase')} FROM d),
 q AS (SELECT idx AS start, {', '.join(f'avg({e}) OVER x AS x_{e}, lead({e}, 24) OVER (ORDER BY idx) AS y_{e}' for e in EVENT_TYPES if e != 'purchase')},
   count(*) OVER x AS nx, count(*) OVER () - 24 - 4 + 1 AS n FROM z WINDOW x AS (ORDER BY idx ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING))
 SELECT start, CASE WHEN start < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split,

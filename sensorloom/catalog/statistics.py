@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from sensorloom.catalog.base import DAY, EV, FEATURES, LI, daily, events, indexed_events, indexed_lines, lines, query, rounded
+from sensorloom.catalog.base import DAY, EV, EVENT_TYPES, FEATURES, HR, LI, daily, events, indexed_events, indexed_hourly, indexed_lines, lines, query, rounded
 from sensorloom.kernels import IDX
 from sensorloom.operators import stats
 
@@ -109,6 +109,19 @@ def autocorrelation(spark, sf):
     return rounded(stats.acf(indexed_events(spark, sf), "event_type", "value"))
 
 
+_STANDARD = ", ".join(f"coalesce(({e} - avg({e}) OVER ()) / nullif(stddev_pop({e}) OVER (), 0), 0) AS {e}" for e in EVENT_TYPES)
+_STANDARD_LONG = " UNION ALL ".join(f"SELECT idx, '{e}' AS name, {e} AS z FROM sd" for e in EVENT_TYPES)
+
+
+@query("lagged_cross_correlation", f"""
+WITH {HR}, sd AS (SELECT idx, {_STANDARD} FROM hr), lo AS ({_STANDARD_LONG}), nr AS (SELECT count(*) AS n FROM hr)
+SELECT a.name AS first, b.name AS second, CAST(b.idx - a.idx AS INTEGER) AS lag, round(sum(a.z * b.z) / any_value(n), 6) + 0.0 AS r
+FROM lo a JOIN lo b ON b.idx >= a.idx AND b.idx <= a.idx + 48, nr GROUP BY 1, 2, 3
+""")
+def lagged_cross_correlation(spark, sf):
+    return rounded(stats.lagged_correlations(indexed_hourly(spark, sf), None, EVENT_TYPES, 48))
+
+
 @query("partial_autocorrelation", f"""
 WITH RECURSIVE {EV}, c AS (SELECT event_type, idx, value - avg(value) OVER (PARTITION BY event_type) AS x FROM ev),
 g AS (SELECT event_type, sum(x * x) AS v, count(*) AS n FROM c GROUP BY 1),

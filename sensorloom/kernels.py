@@ -70,9 +70,8 @@ def order_index(df: DataFrame, series: str | Sequence[str] | None, order: str |
 
     ``order`` must be unique inside a series (add tie-break columns).  The result
     is written once, since ordered operators scan their rows at least twice.
-    Inputs proven small use a plain ``row_number``.  Others are range-partitioned
-    on (series, order) and numbered from each partition's offset, so a series of
-    any length is spread over many tasks.
+    They are range-partitioned on (series, order) and numbered from each
+    partition's offset, so a series of any length is spread over many tasks.
     """
     series, order = names(series), names(order)
     keys = [*series, *order]
@@ -366,16 +365,18 @@ def quantiles(df: DataFrame, by: str | Sequence[str] | None, value: str, qs: Seq
     counts = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_counts(counts, by, "_v", {"_upto": "_c"}, {"_n": "_c"})
     spots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("p")) for i, q in enumerate(qs)])
-    ranked = ranked.withColumn("_spot", F.explode(spots)).withColumn(
-        "_at", F.col("_spot.p") * (F.col("_n") - 1)
-    )
 
     def holds(rank: Column) -> Column:
         return (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
 
+    def wanted(spot: Column) -> Column:
+        return holds(F.floor(spot["p"] * (F.col("_n") - 1))) | holds(F.ceil(spot["p"] * (F.col("_n") - 1)))
+
+    # few values hold a wanted rank; the others go before anything is multiplied
+    ranked = ranked.withColumn("_spot", F.explode(F.filter(spots, wanted))).withColumn("_at", F.col("_spot.p") * (F.col("_n") - 1))
     low, high = F.floor("_at"), F.ceil("_at")
     picked = (
-        ranked.where(holds(low) | holds(high))
+        ranked
         .groupBy(*by, F.col("_spot.i").alias("_i"))
         .agg(
             F.max(F.when(holds(low), F.col("_v"))).alias("_lo"),

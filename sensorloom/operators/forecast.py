@@ -190,8 +190,8 @@ class DirectRidge:
         return self._rows(df).mapInPandas(score, "start bigint, step int, feature string, y_true double, y_pred double")
 
 
-def holt_lines(x: np.ndarray, alpha: float, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Holt's additive trend over the rows of ``x`` (windows × steps): level, trend and one-step SSE."""
+def holt_lines(x: np.ndarray, alpha, beta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Holt's additive trend over the rows of ``x`` (windows × steps): level, trend and one-step SSE.  Weights are numbers or one per row."""
     level, trend = x[:, 0].copy(), x[:, 1] - x[:, 0]
     sse = np.zeros(len(x))
     for t in range(1, x.shape[1]):
@@ -203,13 +203,40 @@ def holt_lines(x: np.ndarray, alpha: float, beta: float) -> tuple[np.ndarray, np
     return level, trend, sse
 
 
+def holt_weights(x: np.ndarray, grid: Sequence[float], beta: float | None = None, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level and trend weight of least one-step SSE for every row of ``x``, and that SSE, all rows at once.
+
+    The best point of the grid (of its level weights alone with ``beta`` given) is where a search in ever smaller steps begins, so no grid point is better.
+    """
+    alpha, trend, best = np.full(len(x), grid[0]), np.full(len(x), grid[0] if beta is None else beta), np.full(len(x), np.inf)
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        sse = holt_lines(x, a, b)[2]
+        better = sse < best
+        alpha[better], trend[better], best[better] = a[better], b[better], sse[better]
+
+    for a, b in itertools.product(grid, grid if beta is None else [beta]):
+        take(np.full(len(x), a), np.full(len(x), b))
+    step = float(grid[1] - grid[0]) / 2
+    for _ in range(rounds):
+        here = alpha.copy(), trend.copy()
+        for da, db in itertools.product((-1, 0, 1), (-1, 0, 1) if beta is None else (0,)):
+            take(np.clip(here[0] + da * step, 0.0, 1.0), np.clip(here[1] + db * step, 0.0, 1.0))
+        step /= 2
+    return alpha, trend, best
+
+
 class ExponentialSmoothing:
-    """Holt's linear trend per window; one smoothing level for all, averaged over ≤ 20 fitted windows."""
+    """Holt's linear trend per window; one level and one trend weight for all, averaged over ``fitted`` evenly spread windows (all with ``None``).
+
+    ``beta`` fixes the trend weight.
+    """
 
     GRID = tuple(round(0.05 * i, 2) for i in range(1, 20))
 
-    def __init__(self, series, n_in: int, n_out: int, beta: float = 0.1, fallback: float = 0.3):
-        self.series, self.n_in, self.n_out, self.beta, self.alpha = names(series), n_in, n_out, beta, fallback
+    def __init__(self, series, n_in: int, n_out: int, beta: float | None = None, fallback: float = 0.3, fitted: int | None = 20):
+        self.series, self.n_in, self.n_out, self.fixed, self.fitted = names(series), n_in, n_out, beta, fitted
+        self.alpha, self.beta = fallback, 0.1 if beta is None else beta
 
     def _inputs(self, windows: DataFrame) -> DataFrame:
         first = windows.where(F.col("step") < self.n_in)
@@ -217,20 +244,21 @@ class ExponentialSmoothing:
         return packed.select(*self.series, "window_id", F.transform("x", lambda r: r["value"]).alias("x"))
 
     def fit(self, windows: DataFrame) -> ExponentialSmoothing:
-        last = windows.agg(F.max("window_id")).first()[0] or 0
-        picks = sorted({int(v) for v in np.linspace(0, last, min(20, last + 1))})
-        chosen = self._inputs(windows.where(F.col("window_id").isin(picks)))
-        grid, beta = self.GRID, self.beta
+        chosen = windows
+        if self.fitted is not None:
+            last = windows.agg(F.max("window_id")).first()[0] or 0
+            chosen = windows.where(F.col("window_id").isin(sorted({int(v) for v in np.linspace(0, last, min(self.fitted, last + 1))})))
+        grid, beta = self.GRID, self.fixed
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    x = np.stack(batch["x"].to_numpy())
-                    sse = np.stack([holt_lines(x, a, beta)[2] for a in grid])
-                    yield pd.DataFrame({"alpha": np.array(grid)[sse.argmin(axis=0)]})
+                    alpha, trend, _ = holt_weights(np.stack(batch["x"].to_numpy()), grid, beta)
+                    yield pd.DataFrame({"alpha": alpha, "beta": trend})
 
-        found = chosen.mapInPandas(best, "alpha double").agg(F.avg("alpha")).first()[0]
-        self.alpha = found if found is not None else self.alpha
+        found = self._inputs(chosen).mapInPandas(best, "alpha double, beta double").agg(F.avg("alpha"), F.avg("beta")).first()
+        if found[0] is not None:
+            self.alpha, self.beta = found
         return self
 
     def predict(self, windows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.kernels import IDX, attach, carry_fill, names, prefix_sums, quantiles
 from sensorloom.operators.split import hash_sample, with_total
+from sensorloom.session import settle
 
 INT8_MIN, INT8_MAX = -128, 127
 
@@ -46,7 +47,7 @@ def sweep_samples(scores: DataFrame, key: str, totals: Sequence[int], balances:
             try:
                 row = balanced_sample(scores, key, total, balance, seed).agg(
                     F.count(F.lit(1)).alias("selected"), F.count_if(F.col("part") == "tail").alias("tail"), F.avg("score").alias("mean_score"))
-                row = row.select(*tag, "*", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("note"))
+                row = settle(row.select(*tag, "*", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("note")))  # computed here, where it may fail
             except Exception as error:  # noqa: BLE001 - a failing configuration is a result row
                 row = scores.sparkSession.range(1).select(
                     *tag, F.lit(0).cast("bigint").alias("selected"), F.lit(0).cast("bigint").alias("tail"), F.lit(None).cast("double").alias("mean_score"),

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from sensorloom.functions.normal import inverse_normal, kolmogorov_p, normal_cdf, pearson_p
 from sensorloom.kernels import (
-    IDX, attach, attach_stats, cells_to_matrix, framed, gram_cells, names, prefix_sums, quantiles, running_counts, solve_ridge,
+    CHUNK_ROWS, IDX, attach, attach_stats, cells_to_matrix, framed, gram_cells, names, prefix_sums, quantiles, running_counts, solve_ridge,
 )
 from sensorloom.operators.windows import centred_mean
 from sensorloom.session import settle
@@ -151,6 +151,39 @@ def acf(df: DataFrame, series, value: str, lags: int = 50) -> DataFrame:
     return rows.withColumn("significant", F.abs("acf") > F.col("conf"))
 
 
+def lagged_correlations(df: DataFrame, series, columns: Sequence[str], max_lag: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``(series…, first, second, lag, r)``: how ``first`` goes with ``second`` ``lag`` rows later, for all ordered pairs of columns and lags 0 … ``max_lag``.
+
+    r is the sum of products of standardised values over the number of rows; a null counts as the mean, a constant column has r 0.
+    Chunks take the ``max_lag`` rows after their end along, so every product is made once and all pairs and lags come from one pass.
+    """
+    by, columns = names(series), list(columns)
+    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{p}_{c}") for c in columns for f, p in ((F.avg, "m"), (F.stddev_pop, "s"))])
+    z = F.array(*[F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in columns])
+    size = max(chunk_rows, max_lag, 1)
+    home = F.floor(F.col(IDX) / size).cast("bigint")
+    rows = attach_stats(df.select(*by, IDX, *columns), stats, by).select(*by, IDX, "_n", z.alias("_z"), home.alias("_home"))
+    before = F.when((F.col(IDX) - home * size < max_lag) & (home > 0), home - 1)
+    rows = rows.withColumn("_chunk", F.explode(F.array_compact(F.array("_home", before))))
+    fields = "".join(f"`{c}` {dict(df.dtypes)[c]}, " for c in by)
+
+    def products(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values(IDX)
+        x, own = np.stack(chunk["_z"].to_numpy()), int((chunk["_home"] == chunk["_chunk"]).sum())
+        lags = range(min(max_lag, len(x) - 1) + 1) if own else []
+        made = [x[: min(own, len(x) - lag)].T @ x[lag : lag + min(own, len(x) - lag)] for lag in lags]
+        out = pd.DataFrame({"lag": np.arange(len(made), dtype="int32"), "v": [m.ravel().tolist() for m in made]})
+        return out.assign(**{c: pd.Series([chunk[c].iloc[0]] * len(made), dtype=object) for c in by})
+
+    made = rows.groupBy(*by, "_chunk").applyInPandas(products, f"{fields}lag int, v array<double>")
+    summed = made.select(*by, "lag", F.posexplode("v").alias("_k", "_v")).groupBy(*by, "lag", "_k").agg(F.sum("_v").alias("_v"))
+    named = F.array(*[F.lit(c) for c in columns])
+    out = attach_stats(summed, stats.select(*by, "_n"), by)
+    return out.select(
+        *by, F.get(named, F.floor(F.col("_k") / len(columns)).cast("int")).alias("first"), F.get(named, F.col("_k") % len(columns)).alias("second"), "lag",
+        (F.col("_v") / F.col("_n")).alias("r"))
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _durbin(acfs: pd.Series) -> pd.Series:
     out = []

@@ -275,3 +275,17 @@ def test_late_rows_and_sessions_cover_all_rows(spark, tmp_path):
     late = marked.where("late").count()
     assert 0 < late < 60 and marked.count() == 160
     assert 160 - late <= runs.agg(F.sum("n")).first()[0] < 160
+
+
+def test_holt_weights_are_no_worse_than_any_grid_point():
+    from sensorloom.operators import forecast
+
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.normal(size=(25, 40)), axis=1) + rng.normal(size=(25, 40)) * np.linspace(0, 3, 25)[:, None]
+    grid = forecast.ExponentialSmoothing.GRID
+    alpha, beta, sse = forecast.holt_weights(x, grid)
+    every = np.stack([forecast.holt_lines(x, a, b)[2] for a in grid for b in grid])
+    assert (sse <= every.min(axis=0)).all() and np.allclose(forecast.holt_lines(x, alpha, beta)[2], sse)
+    assert ((alpha >= 0) & (alpha <= 1) & (beta >= 0) & (beta <= 1)).all()
+    one, fixed, held = forecast.holt_weights(x, grid, 0.1)
+    assert (fixed == 0.1).all() and (held <= np.stack([forecast.holt_lines(x, a, 0.1)[2] for a in grid]).min(axis=0)).all() and (sse <= held + 1e-9).all()
