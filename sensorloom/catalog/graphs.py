@@ -210,11 +210,20 @@ def rescored_without_top(spark, sf):
     return rounded(out.groupBy(KEY, "round").agg(F.count(F.lit(1)).alias("n"), F.first("alpha").alias("alpha")))
 
 
-@query("oddball_with_lof")
+@query("oddball_with_lof", f"""
+WITH {ODD}, pd AS (SELECT a.event_type, a.node, b.node AS o, sqrt((a.nodes - b.nodes) ** 2 + (a.edges - b.edges) ** 2) AS d FROM ego a JOIN ego b ON a.event_type = b.event_type AND a.node <> b.node),
+nn AS (SELECT *, row_number() OVER (PARTITION BY event_type, node ORDER BY d, o) AS rn FROM pd QUALIFY rn <= 20), kd AS (SELECT event_type, node, max(d) AS kd FROM nn GROUP BY 1, 2),
+ld AS (SELECT nn.event_type, nn.node, 1 / (avg(greatest(nn.d, kd.kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.event_type = nn.event_type AND kd.node = nn.o GROUP BY 1, 2),
+lf AS (SELECT nn.event_type, nn.node, avg(o.lrd) / any_value(m.lrd) AS lof FROM nn JOIN ld o ON o.event_type = nn.event_type AND o.node = nn.o JOIN ld m ON m.event_type = nn.event_type AND m.node = nn.node GROUP BY 1, 2),
+mm AS (SELECT od.event_type, min(score) AS s0, max(score) AS s1, min(lof) AS l0, max(lof) AS l1 FROM od JOIN lf ON lf.event_type = od.event_type AND lf.node = od.node GROUP BY 1)
+SELECT od.event_type, od.node, round(score, 6) AS oddball_score, round(ln(lof), 6) + 0.0 AS log_lof,
+  round((coalesce((score - s0) / nullif(s1 - s0, 0), 0) + coalesce((lof - l0) / nullif(l1 - l0, 0), 0)) / 2, 6) AS combined
+FROM od JOIN lf ON lf.event_type = od.event_type AND lf.node = od.node JOIN mm ON mm.event_type = od.event_type
+""")
 def oddball_with_lof(spark, sf):
-    """Clique/star score and LOF of the egonets of each graph, both scaled and averaged."""
+    """Clique/star score and LOF of the egonets of each graph, both scaled and averaged; factors span many orders, so their logarithm is shown."""
     scores = graph.oddball(graph.egonets(natural(spark, sf)[1], KEY), KEY)
-    return graph.oddball_with_lof(scores, 20, KEY).select(KEY, "node", "oddball_score", "lof", "combined")
+    return rounded(graph.oddball_with_lof(scores, 20, KEY).select(KEY, "node", "oddball_score", F.ln("lof").alias("log_lof"), "combined"))
 
 
 @query("residual_branches")
