@@ -311,7 +311,7 @@ def _searched(queries: Queries, model: Model, lists: dict[int, np.ndarray], need
 def _search(docs: DataFrame, queries: Queries, top: int, sample_shards: int, block_docs: int) -> DataFrame:
     spark, width = docs.sparkSession, len(queries.table)
     shards = settle(docs.mapInPandas(_shards(queries), f"{SHARD_SCHEMA}, n_docs long, n_terms long"))
-    n_docs, n_terms = (x or 0 for x in shards.agg(F.sum("n_docs"), F.sum("n_terms")).first())
+    n_docs, n_terms, n_shards = (x or 0 for x in shards.agg(F.sum("n_docs"), F.sum("n_terms"), F.count(F.lit(1))).first())
     shards = shards.drop("n_docs", "n_terms")
     summed = lambda value: shards.mapInPandas(_term_totals(width, value), "term int, count long, most long").groupBy("term").agg(F.sum("count").alias("n"), F.max("most").alias("most")).collect()
     df = np.zeros(width, np.int64)
@@ -324,7 +324,7 @@ def _search(docs: DataFrame, queries: Queries, top: int, sample_shards: int, blo
     most *= model.weight
 
     # scores that so many documents of a sample reach are bars which the best of all documents cannot miss
-    sample = shards.orderBy(F.xxhash64("ids"), "ids").limit(sample_shards).repartition(sample_shards)
+    sample = shards.where(F.pmod(F.xxhash64("ids"), F.lit(max(1, n_shards))) < sample_shards)
     reached = sample.mapInPandas(_sampled(queries, model, top), "query int, score long").groupBy("query").agg(F.slice(F.sort_array(F.collect_list("score"), False), top, 1).alias("bar")).collect()
     bars = np.zeros(len(queries.ids), np.int64)
     for r in reached:
@@ -349,7 +349,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, text: str = "text", doc: st
     Terms are runs of ASCII letters and digits (A-Z lower-cased) and of any other characters.  With N documents that hold a term, L terms in all, n in one document, df documents with a term, its
     weight w = floor(1000 ln((2N + 2) / (2 df + 1))) and m = 50 + 50 n N div L, a document's score is the sum of w (10^9 tf div (1000 tf + 20 m)) over the item's distinct terms.
 
-    Documents go to shards of a bounded number of entries, whole and in place; nothing but counts and shard-wise best ones is shuffled.  ``sample_shards`` of them are scored
+    Documents go to shards of a bounded number of entries, whole and in place; nothing but counts and shard-wise best ones is shuffled.  About ``sample_shards`` of them, by hash, are scored
     in full and give each item a bar that its best documents reach for certain.  In each shard every posting list that a document above the bar must be in is cut into blocks of about ``block_docs`` documents that
     resemble each other, with the largest value per term as a summary; the summary's score bounds those of its documents, so only blocks that reach the
     bar (which rises with what is found) are scored, exactly.  The result is that of scoring everything.
