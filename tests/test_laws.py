@@ -289,3 +289,21 @@ def test_holt_weights_are_no_worse_than_any_grid_point():
     assert ((alpha >= 0) & (alpha <= 1) & (beta >= 0) & (beta <= 1)).all()
     one, fixed, held = forecast.holt_weights(x, grid, 0.1)
     assert (fixed == 0.1).all() and (held <= np.stack([forecast.holt_lines(x, a, 0.1)[2] for a in grid]).min(axis=0)).all() and (sse <= held + 1e-9).all()
+
+
+def test_envelope_with_many_starts_resists_a_large_cluster(spark):
+    """Two fifths of the rows lie in a tight cluster far away; coordinates alone (medians) are pulled between the two."""
+    rng = np.random.default_rng(6)
+    good = rng.normal(size=(240, 2)) @ np.array([[2.0, 1.6], [0.0, 0.7]])
+    bad = rng.normal(size=(150, 2)) * 0.9 + np.array([1.5, 8.0])
+    data = frame(spark, a=np.r_[good[:, 0], bad[:, 0]], b=np.r_[good[:, 1], bad[:, 1]])
+    model = outliers.RobustEnvelope(["a", "b"], 0.38).fit(data)
+    assert model.volume <= min(model.first_volumes) + 1e-2 and len(model.first_volumes) == 21
+    assert np.linalg.norm(model.mean - good.mean(axis=0)) < 0.8
+    rows = model.predict(data).collect()
+    assert sum(r["anomaly"] for r in rows if r["b"] > 5 and r["a"] < 5) >= 0.9 * 150
+    clean = sorted(r["score"] for r in rows if not (r["b"] > 4))
+    assert 0.6 < clean[len(clean) // 2] < 1.9  # close to the median distance of normal data, 1.18
+    flat = frame(spark, a=np.ones(30), b=np.arange(30.0))
+    assert sum(r["anomaly"] for r in outliers.RobustEnvelope(["a", "b"]).fit(flat).predict(flat).collect()) <= 30
+    assert outliers.RobustEnvelope(["a", "b"]).fit(flat.where("false")).threshold == float("inf")
