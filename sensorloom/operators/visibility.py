@@ -120,8 +120,7 @@ def _beyond(x: np.ndarray, y: np.ndarray, best: np.ndarray, children) -> Iterato
         np.maximum(best, _steepest(x, y, child["hx"], child["hy"]), out=best)
 
 
-def _inside(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Visible pairs among the rows of one leaf, and every row's steepest slope to the rows after it."""
+def _inside_plain(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     best, src, dst = np.full(len(x), -np.inf), [], []
     for i in range(len(x) - 1):
         slope = (y[i + 1 :] - y[i]) / (x[i + 1 :] - x[i])
@@ -134,6 +133,40 @@ def _inside(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(src or [none]), np.concatenate(dst or [none]), best
 
 
+def _inside(x: np.ndarray, y: np.ndarray, block: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Visible pairs among the rows of one leaf, and every row's steepest slope to the rows after it.
+
+    Rows of one block are compared at once.  A row enters a later block only where the slope to the block's highest value, seen at its
+    nearer end (its farther one when it lies below), beats the steepest slope before; rounding keeps that order, so nothing is lost.
+    """
+    if not np.isfinite(y).all():
+        return _inside_plain(x, y)
+    n, count = len(x), -(-len(x) // block)
+    xs = np.r_[x, x[-1:] + np.arange(1, count * block - n + 1)].reshape(count, block)
+    ys = np.r_[y, np.full(count * block - n, -np.inf)].reshape(count, block)
+    later = np.triu(np.ones((block, block), bool), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(later, (ys[:, None, :] - ys[:, :, None]) / (xs[:, None, :] - xs[:, :, None]), -np.inf)
+    slope[np.isnan(slope)] = -np.inf  # only what filled up the last block
+    most = np.maximum.accumulate(slope, axis=2)
+    which, i, j = np.nonzero(slope[:, :, 1:] > most[:, :, :-1])
+    src, dst, best = [which * block + i], [which * block + j + 1], most[:, :, -1].reshape(-1)[:n].copy()
+    top = ys.max(axis=1)
+    for k in range(1, count):
+        start = k * block
+        cx, cy = x[start : start + block], y[start : start + block]
+        rise = top[k] - y[:start]
+        at = np.flatnonzero(rise / (np.where(rise >= 0, cx[0], cx[-1]) - x[:start]) > best[:start])
+        if len(at):
+            slope = (cy[None, :] - y[at, None]) / (cx[None, :] - x[at, None])
+            most = np.maximum.accumulate(np.c_[best[at], slope], axis=1)
+            i, j = np.nonzero(slope > most[:, :-1])
+            src.append(at[i])
+            dst.append(start + j)
+            best[at] = most[:, -1]
+    return np.concatenate(src), np.concatenate(dst), best
+
+
 def natural_visibility(df: DataFrame, series, value: str, leaf_rows: int = LEAF_ROWS, fan: int = FAN) -> DataFrame:
     """Edges ``(series…, src, dst)`` between rows whose chord clears every row in between.
 
