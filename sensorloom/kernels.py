@@ -36,6 +36,7 @@ def attach(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: st
     """Equi-join on ``keys`` that also matches null keys and keeps one copy of them.
 
     Positions (``idx``, ``_chunk``, ``_part`` …) are never null and join by plain equality.
+    Numbers come first among the join's keys: Spark sorts by them as they are, and by text only where they are equal.
     """
     keys = names(keys)
     if not keys:
@@ -45,9 +46,10 @@ def attach(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: st
     renamed = right.select(
         *[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
+    kinds = dict(left.dtypes)
     condition = reduce(
         lambda a, b: a & b,
-        [F.col(k) == F.col(f"_right_{k}") if k in NEVER_NULL else F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys],
+        [F.col(k) == F.col(f"_right_{k}") if k in NEVER_NULL else F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in sorted(keys, key=lambda k: kinds[k] not in ("bigint", "int"))],
     )
     joined = left.join(renamed, condition, how)
     return joined.drop(*[f"_right_{k}" for k in keys])

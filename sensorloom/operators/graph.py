@@ -77,14 +77,14 @@ def triangles(edges: DataFrame, keys) -> DataFrame:
     rows = edges.select(*by, "src", "dst", weight.alias("w"))
     rows = attach(rows, deg.select(*by, F.col("node").alias("src"), F.col("degree").alias("_ds")), [*by, "src"])
     rows = attach(rows, deg.select(*by, F.col("node").alias("dst"), F.col("degree").alias("_dd")), [*by, "dst"])
-    low = F.struct(F.col("_ds").alias("d"), F.col("src").alias("n"))
-    high = F.struct(F.col("_dd").alias("d"), F.col("dst").alias("n"))
-    out = settle(rows.select(*by, F.least(low, high).alias("a"), F.greatest(low, high).alias("b"), "w"))
-    other = out.select(*by, "a", F.col("b").alias("c"), F.col("w").alias("w_ac"))
-    wedges = attach(out.withColumnRenamed("w", "w_ab"), other, [*by, "a"]).where(F.col("b") < F.col("c"))
+    ahead = F.struct("_ds", "src") < F.struct("_dd", "dst")
+    low, high = (lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))), (lambda a, b: F.when(ahead, F.col(b)).otherwise(F.col(a)))
+    out = settle(rows.select(*by, low("src", "dst").alias("a"), high("src", "dst").alias("b"), high("_ds", "_dd").alias("_db"), "w"))
+    # joins compare plain node numbers; degrees only order the ends of a wedge
+    other = out.select(*by, "a", F.col("b").alias("c"), F.col("_db").alias("_dc"), F.col("w").alias("w_ac"))
+    wedges = attach(out.withColumnRenamed("w", "w_ab"), other, [*by, "a"]).where(F.struct("_db", "b") < F.struct("_dc", "c")).drop("_db", "_dc")
     closing = out.select(*by, F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("w_bc"))
-    found = attach(wedges, closing, [*by, "b", "c"])
-    return found.select(*by, *[F.col(f"{x}.n").alias(x) for x in "abc"], "w_ab", "w_ac", "w_bc")
+    return attach(wedges, closing, [*by, "b", "c"]).select(*by, "a", "b", "c", "w_ab", "w_ac", "w_bc")
 
 
 def triangles_at(edges: DataFrame, keys, found: DataFrame | None = None) -> DataFrame:
@@ -153,6 +153,7 @@ def heavy_vicinity(ego: DataFrame, keys, min_nodes: int = 10) -> DataFrame:
 
 
 STEPS_LOCAL, STEPS_CLUSTER = 200_000, 1000
+DENSE_NODES, DENSE_CELLS = 256, 4_000_000
 
 
 def _largest_eigenvalue(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray) -> float:
@@ -171,6 +172,41 @@ def _largest_eigenvalue(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray)
     raise RuntimeError(f"the eigenvalue of an egonet with {m} edges did not settle in {STEPS_LOCAL} steps")
 
 
+def _largest_eigenvalues(u, v, w) -> np.ndarray:
+    """The largest eigenvalue of each egonet, given as lists of ends and weights.
+
+    Egonets of up to ``DENSE_NODES`` nodes are matrices, those of one size solved together; the rest is iterated.
+    """
+    sizes = np.array([len(x) for x in u])
+    out, row = np.empty(len(sizes)), np.repeat(np.arange(len(sizes)), sizes)
+    ends, weights = [np.concatenate([np.asarray(x) for x in side]) for side in (u, v)], np.concatenate([np.asarray(x, float) for x in w])
+    rows, ids = np.r_[row, row], np.r_[ends[0], ends[1]]
+    order = np.lexsort((ids, rows))
+    new = np.r_[True, (np.diff(rows[order]) != 0) | (np.diff(ids[order]) != 0)]
+    members = np.bincount(rows[order][new], minlength=len(sizes))
+    at = np.empty(len(rows), int)
+    at[order] = np.cumsum(new) - 1
+    at -= (np.cumsum(members) - members)[rows]
+    i, j, starts = at[: len(row)], at[len(row) :], np.r_[0, np.cumsum(sizes)]
+    dense = members <= DENSE_NODES
+    for k in np.flatnonzero(~dense):
+        part = slice(starts[k], starts[k + 1])
+        out[k] = _largest_eigenvalue(ends[0][part], ends[1][part], weights[part])
+    by_size = np.flatnonzero(dense)[np.argsort(members[dense], kind="stable")]
+    for same in np.split(by_size, np.flatnonzero(np.diff(members[by_size])) + 1) if len(by_size) else []:
+        n = int(members[same[0]])
+        step = max(1, DENSE_CELLS // (n * n))
+        for s in range(0, len(same), step):
+            some = same[s : s + step]
+            lengths = sizes[some]
+            local = np.repeat(np.arange(len(some)), lengths)
+            edge = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[some][local]
+            cells = np.r_[(local * n + i[edge]) * n + j[edge], (local * n + j[edge]) * n + i[edge]]
+            full = np.bincount(cells, np.r_[weights[edge], weights[edge]], len(some) * n * n).reshape(len(some), n, n)
+            out[some] = np.linalg.eigvalsh(full)[:, -1]
+    return out
+
+
 def ego_edges(edges: DataFrame, keys, found: DataFrame | None = None) -> DataFrame:
     """Edges of every egonet: ``(keys…, ego, u, v, weight)``."""
     by = names(keys)
@@ -195,7 +231,7 @@ def ego_eigenvalues(edges: DataFrame, keys, max_edges: int = 50_000, tolerance:
 
     @F.pandas_udf(T.DoubleType())
     def solve(u: pd.Series, v: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([_largest_eigenvalue(np.asarray(a), np.asarray(b), np.asarray(c)) for a, b, c in zip(u, v, w)])
+        return pd.Series(_largest_eigenvalues(u, v, w) if len(u) else [], dtype="float64")
 
     small = attach(listed, sizes.where(F.col("_n") <= max_edges), [*by, "ego"]).drop("_n")
     packed = small.groupBy(*by, F.col("ego").alias("node")).agg(*[F.collect_list(c).alias(c) for c in ("u", "v", "weight")])
@@ -273,7 +309,7 @@ def oddball_with_lof(scores: DataFrame, k: int = 20, keys=()) -> DataFrame:
     """Each graph's clique/star score averaged with the LOF of (nodes, edges) among its own nodes, both scaled to 0…1."""
     by, scores = names(keys), settle(scores)
     points = scores.select(*by, F.col("node").alias("id"), F.array(F.col("egonet_nodes").cast("double"), F.col("egonet_edges").cast("double")).alias("vec"))
-    rows = attach(scores, lof(points, k, by=by).withColumnRenamed("id", "node"), [*by, "node"])
+    rows = attach(scores, lof(points, k, by=by, unique_ids=True).withColumnRenamed("id", "node"), [*by, "node"])
     return combine_scores(rows, ["oddball_score", "lof"], by=by)
 
 

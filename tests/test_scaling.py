@@ -18,3 +18,40 @@ def test_leaf_pairs_are_those_of_the_plain_scan(n):
         plain, fast = visibility._inside_plain(x, y), visibility._inside(x, y, 8)
         assert sorted(zip(*plain[:2])) == sorted(zip(*fast[:2]))
         assert np.array_equal(plain[2], fast[2], equal_nan=True)
+
+
+def test_joins_sort_by_numbers_first(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([("a", 1), (None, 1), ("a", None)], "k string, node bigint")
+        joined = attach(rows, rows.withColumn("x", F.lit(1)), ["k", "node"])
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        assert joined.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = plan[plan.index("SortMergeJoin") :].split("\n")[0]
+    assert keys.index("node#") < keys.index("k#")
+
+
+def test_triangles_join_plain_numbers(spark):
+    complete = spark.createDataFrame([("g", i, j) for i in range(6) for j in range(i + 1, 6)], "k string, src bigint, dst bigint")
+    found = graph.triangles(complete, "k")
+    assert {frozenset((r["a"], r["b"], r["c"])) for r in found.collect()} == {frozenset((a, b, c)) for a in range(6) for b in range(a) for c in range(b)}
+    assert found.count() == 20
+    assert "struct" not in [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line][0]
+
+
+def test_eigenvalues_of_many_egonets_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    nets = []
+    for n in (2, 3, 3, 9, 40, 300):
+        ids = rng.choice(10**9, n, replace=False)
+        rim = [(ids[a], ids[b]) for a, b in rng.integers(1, n, (n, 2)) if a < b]
+        pairs = [(ids[0], x) for x in ids[1:]] + rim
+        nets.append((np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), rng.exponential(size=len(pairs)) + 0.1))
+    want = [graph._largest_eigenvalue(*net) for net in nets]
+    steps = []
+    plain = graph._largest_eigenvalue
+    monkeypatch.setattr(graph, "_largest_eigenvalue", lambda *net: steps.append(1) or plain(*net))
+    assert np.allclose(graph._largest_eigenvalues(*zip(*nets)), want, rtol=1e-9)
+    assert len(steps) == 1  # only the one above DENSE_NODES is iterated
