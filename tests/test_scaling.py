@@ -55,3 +55,30 @@ def test_eigenvalues_of_many_egonets_at_once(monkeypatch):
     monkeypatch.setattr(graph, "_largest_eigenvalue", lambda *net: steps.append(1) or plain(*net))
     assert np.allclose(graph._largest_eigenvalues(*zip(*nets)), want, rtol=1e-9)
     assert len(steps) == 1  # only the one above DENSE_NODES is iterated
+
+
+def test_closest_by_products_is_the_plain_search(monkeypatch):
+    rng = np.random.default_rng(4)
+    points = np.r_[rng.normal(size=(80, 16)), rng.integers(0, 2, (80, 16)).astype(float), np.full((30, 16), 1e6) + rng.normal(scale=1e-6, size=(30, 16)), np.full((2, 16), np.nan)]
+    points[100:130] = points[80:110]
+    for chosen in (points, points[:-2]):
+        ids = rng.permutation(len(chosen))
+        fast = neighbours._closest(ids, chosen, chosen, ids, 7, True)
+        with monkeypatch.context() as m:
+            m.setattr(neighbours, "_candidates", lambda *_: None)
+            assert neighbours._closest(ids, chosen, chosen, ids, 7, True) == fast
+
+
+def test_equal_points_are_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = [*rng.integers(0, 4, (120, 2)).tolist(), *rng.normal(size=(40, 2)).tolist(), *([[9.0, 9.0]] * 40)]
+    rows = [("a" if i % 2 else None, i, [float(x) for x in v]) for i, v in enumerate(values)]
+    points = spark.createDataFrame(rows, "g string, id bigint, vec array<double>")
+    asked = []
+    plain = neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda q, *a, **kw: asked.append(q.count()) or plain(q, *a, **kw))
+    want = sorted((r["g"] or "", r["id"], r["lof"]) for r in neighbours.lof(points, 3, by="g").collect())
+    got = sorted((r["g"] or "", r["id"], r["lof"]) for r in neighbours.lof(points, 3, by="g", unique_ids=True).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-12)
+    assert asked[0] == len(rows) and asked[1] < len(rows)
