@@ -11,6 +11,7 @@ to hold that series.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -366,7 +367,17 @@ def quantiles(df: DataFrame, by: str | Sequence[str] | None, value: str, qs: Seq
     data = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_counts(counts, by, "_v", {"_upto": "_c"}, {"_n": "_c"})
-    spots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("p")) for i, q in enumerate(qs)])
+    ordered, cells = sorted(enumerate(qs), key=lambda s: s[1]), len(qs)
+    spots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("p")) for i, q in ordered])
+    if cells > 8:
+        # of many quantiles only those in the cells of a grid that a value's ranks reach into, and one cell on either side, are looked at
+        marks = [q for _, q in ordered]
+        below, upto = (F.array(*[F.lit(side(marks, g / cells)) for g in range(cells + 1)]) for side in (bisect_left, bisect_right))
+        span = F.greatest(F.col("_n") - 1, F.lit(1))
+        first = F.greatest(F.floor((F.col("_upto") - F.col("_c") - 1) / span * cells) - 1, F.lit(0)).cast("int")
+        last = F.least(F.ceil(F.col("_upto") / span * cells) + 1, F.lit(cells)).cast("int")
+        start = F.when(first == 0, 0).otherwise(F.get(below, first))
+        spots = F.slice(spots, start + 1, F.when(last == cells, cells).otherwise(F.get(upto, last)) - start)
 
     def holds(rank: Column) -> Column:
         return (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))

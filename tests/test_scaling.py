@@ -82,3 +82,14 @@ def test_equal_points_are_searched_once(spark, monkeypatch):
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-12)
     assert asked[0] == len(rows) and asked[1] < len(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 500])
+def test_many_quantiles(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.round(rng.normal(size=n), 1)
+    marks = [*np.linspace(0, 1, 101), 0.333, 0.9999, 0.5, 0.0001]
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    plan = quantiles(frame, None, "v", marks)
+    assert np.allclose(plan.first()["q"], np.quantile(values, marks), rtol=0, atol=1e-12)
+    assert "slice" in plan._jdf.queryExecution().analyzed().toString()
