@@ -422,11 +422,13 @@ def average_ranks(df: DataFrame, by: str | Sequence[str] | None, value: str, out
 # --------------------------------------------------------------------------- K5
 
 
+GRAM_CELLS = 4_000_000
+
+
 def gram_cells(df: DataFrame, row: str, by: str | Sequence[str] | None = None) -> DataFrame:
     """Cells ``(by…, i, j, v)`` of ``Xᵀ X`` of the array column ``row``, per group.
 
-    Each task adds up its own rows; only k² partial sums per task and group are
-    shuffled.
+    Each task adds up its own rows, at most ``GRAM_CELLS`` cells at a time; only partial sums, k² per group, are shuffled.
     """
     import numpy as np
     import pandas as pd
@@ -434,6 +436,11 @@ def gram_cells(df: DataFrame, row: str, by: str | Sequence[str] | None = None) -
     by = names(by)
     types = dict(df.dtypes)
 
+    def listed(totals):
+        for key, total in totals.items():
+            keys = {c: pd.Series([None if pd.isna(k) else k] * len(total), dtype=object) for c, k in zip(by, key, strict=True)}
+            yield pd.DataFrame({**keys, "i": range(len(total)), "v": [*total]})
+
     def partial(batches):
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
@@ -442,9 +449,10 @@ def gram_cells(df: DataFrame, row: str, by: str | Sequence[str] | None = None) -
                 key = key if isinstance(key, tuple) else (key,)
                 x = np.stack(part[row].to_numpy())
                 totals[key] = totals[key] + x.T @ x if key in totals else x.T @ x
-        for key, total in totals.items():
-            keys = {c: pd.Series([None if pd.isna(k) else k] * len(total), dtype=object) for c, k in zip(by, key, strict=True)}
-            yield pd.DataFrame({**keys, "i": range(len(total)), "v": total.tolist()})
+                if len(totals) * totals[key].size > GRAM_CELLS:
+                    yield from listed(totals)
+                    totals = {}
+        yield from listed(totals)
 
     fields = "".join(f"{c} {types[c]}, " for c in by)
     parts = df.select(*by, row).mapInPandas(partial, f"{fields}i int, v array<double>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensorloom.kernels import IDX, attach, attach_stats, cells_to_matrix, framed, gram_cells, names, solve_ridge
+from sensorloom.kernels import CHUNK_ROWS, IDX, attach, carry_fill, cells_to_matrix, framed, gram_cells, names, solve_ridge
 from sensorloom.session import settle
 
 LONG_LAGS = 20
 
 
-def lagged(df: DataFrame, series, value: str, d: int, depth: int) -> DataFrame:
-    """``(series…, idx, base, levels)``: 1, the d-times differenced value and its ``depth`` lags; the last value of every lower difference."""
+def lagged(df: DataFrame, series, value: str, d: int, depth: int, keep: Sequence[str] = ()) -> DataFrame:
+    """``(series…, idx, base, levels, keep…)``: 1, the d-times differenced value and its ``depth`` lags; the last value of every lower difference."""
     by = names(series)
-    rows = df.select(*by, IDX, F.col(value).cast("double").alias("_x0"))
+    rows = df.select(*by, IDX, *keep, F.col(value).cast("double").alias("_x0"))
 
     def build(w):
         steps = [{f"_x{k + 1}": F.col(f"_x{k}") - F.lag(f"_x{k}").over(w)} for k in range(d)]
@@ -28,7 +28,7 @@ def lagged(df: DataFrame, series, value: str, d: int, depth: int) -> DataFrame:
 
     made = framed(rows, by, build, depth + d).where((F.col(IDX) >= depth + d) & ~F.exists("base", lambda v: v.isNull()))
     levels = F.array(*[F.col(f"_x{k}") for k in range(d)]) if d else F.array().cast("array<double>")
-    return made.select(*by, IDX, "base", levels.alias("levels"))
+    return made.select(*by, IDX, "base", levels.alias("levels"), *keep)
 
 
 def two_stages(g: np.ndarray, p: int, q: int, long_lags: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -104,10 +104,18 @@ def choose_orders(df: DataFrame, series, value: str, max_p: int = 5, max_d: int
     return found.groupBy(*by).agg(best).select(*by, "_o.*")
 
 
+def next_ends(df: DataFrame, series, value: str, ends: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``(series…, idx, value, end)``: every row with the first end after it, if any, met by a backward fill over rows and ends in one order."""
+    by = names(series)
+    rows = df.select(*by, IDX, value, F.lit(None).cast("bigint").alias("end"), (2 * F.col(IDX) + 1).alias("_at"))
+    marks = ends.select(*by, F.lit(None).cast("bigint").alias(IDX), F.lit(None).cast(dict(df.dtypes)[value]).alias(value), "end", (2 * F.col("end")).alias("_at"))
+    return carry_fill(rows.unionByName(marks), by, {"end": "end"}, backward=True, chunk_rows=2 * chunk_rows, idx="_at").where(F.col(IDX).isNotNull()).drop("_at")
+
+
 def forecast_histories(df: DataFrame, series, value: str, ends: DataFrame, steps: int, orders: DataFrame | tuple[int, int, int] = (5, 1, 2), long_lags: int = LONG_LAGS) -> DataFrame:
     """``(series…, end, step, y_pred)``: for every ``end`` of ``ends (series…, end)`` a model fitted on the rows before it, and ``steps`` values from there on.
 
-    ``orders`` is one (p, d, q) or a table ``(series…, p, d, q)``, as :func:`choose_orders` gives.  Rows are summed to one Gram matrix for each stretch between two ends;
+    ``orders`` is one (p, d, q) or a table ``(series…, p, d, q)``, as :func:`choose_orders` gives.  Every row gets the first end after it and rows are summed to one Gram matrix for each stretch between two ends;
     running sums over the stretches give that of every history, so the data are read once however many histories there are.  Models are
     solved and followed on the executors, each from its matrix and the last row before its end.
     """
@@ -132,9 +140,7 @@ def forecast_histories(df: DataFrame, series, value: str, ends: DataFrame, steps
         chosen = orders.where(F.col("d") == r["d"]).drop("d")
         depth = long_lags + (chosen.agg(F.max(F.greatest("p", "q"))).first()[0] or 0)
         mine = attach(asked, chosen.select(*by), by)
-        listed = mine.groupBy(*by).agg(F.array_sort(F.collect_list("end")).alias("_ends"))
-        rows = attach_stats(lagged(df, by, value, r["d"], depth), listed, by)
-        rows = settle(rows.withColumn("end", F.array_min(F.filter("_ends", lambda e: e > F.col(IDX)))).drop("_ends")).where("end IS NOT NULL")
+        rows = settle(lagged(next_ends(df, by, value, mine), by, value, r["d"], depth, ["end"]).where("end IS NOT NULL"))
         cells = gram_cells(rows.select(*by, "end", "base"), "base", [*by, "end"])
         upto = Window.partitionBy(*by, "i", "j").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
         cells = cells.select(*by, "end", "i", "j", F.sum("v").over(upto).alias("v"))

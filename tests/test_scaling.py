@@ -84,6 +84,30 @@ def test_equal_points_are_searched_once(spark, monkeypatch):
     assert asked[0] == len(rows) and asked[1] < len(rows)
 
 
+def test_next_end_of_every_row(spark):
+    rows = spark.createDataFrame([(k, i, float(i)) for k in ("a", None) for i in range(30)], f"k string, {IDX} bigint, v double")
+    ends = spark.createDataFrame([("a", 5), ("a", 6), ("a", 17), (None, 29), (None, 40)], "k string, end bigint")
+    got = {(r["k"], r[IDX]): (r["v"], r["end"]) for r in arima.next_ends(rows, "k", "v", ends, 4).collect()}
+    marks = {"a": [5, 6, 17], None: [29, 40]}
+    assert got == {(k, i): (float(i), min((e for e in marks[k] if e > i), default=None)) for k in marks for i in range(30)}
+
+
+def test_histories_hold_no_list_of_ends(spark):
+    rows = spark.createDataFrame([("a", i, float((i * 37) % 11)) for i in range(200)], f"k string, {IDX} bigint, v double")
+    ends = spark.createDataFrame([("a", 80), ("a", 120)], "k string, end bigint")
+    plan = arima.next_ends(rows, "k", "v", ends)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "lambda" not in plan
+
+
+def test_gram_cells_flush(spark, monkeypatch):
+    from sensorloom import kernels
+
+    rows = spark.createDataFrame([(i % 7, [1.0, float(i), float(i * i % 5)]) for i in range(100)], "g int, x array<double>").coalesce(1)
+    want = sorted(tuple(r) for r in kernels.gram_cells(rows, "x", "g").collect())
+    monkeypatch.setattr(kernels, "GRAM_CELLS", 20)
+    assert sorted(tuple(r) for r in kernels.gram_cells(rows, "x", "g").collect()) == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 500])
 def test_many_quantiles(spark, n):
     rng = np.random.default_rng(n)
