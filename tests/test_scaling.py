@@ -117,3 +117,22 @@ def test_many_quantiles(spark, n):
     plan = quantiles(frame, None, "v", marks)
     assert np.allclose(plan.first()["q"], np.quantile(values, marks), rtol=0, atol=1e-12)
     assert "slice" in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_walkable_trees_give_the_scores_of_the_trees(spark):
+    rng = np.random.default_rng(6)
+    data = pd.DataFrame(np.round(rng.normal(size=(600, 3)), 1), columns=list("abc")).assign(id=range(600))
+    data.loc[3, "a"] = None
+    frame = spark.createDataFrame(data)
+    model = outliers.IsolationForest(list("abc"), ["id"], trees=7, sample=64).fit(frame)
+    got = {r["id"]: r["score"] for r in model.score(frame).collect()}
+
+    def length(tree, row):
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["left"][at] if row[tree["feature"][at]] <= tree["cut"][at] else tree["right"][at]
+        return tree["length"][at]
+
+    for i, row in enumerate(data[list("abc")].to_numpy()):
+        assert got[i] == pytest.approx(2.0 ** (-sum(length(t, row) for t in model.forest) / 7 / model.norm), rel=1e-12)
+    assert all(len(outliers._walkable(t)[2]) == 2 * len(t["feature"]) for t in model.forest)
