@@ -379,24 +379,32 @@ def similarity(lab: DataFrame, field: DataFrame, pairs: Sequence[tuple[str, str]
     wide = settle(attach(standardised("a", lab), standardised("b", field), IDX))
     every = [f"{s}_{c}" for s in "ab" for c in columns[s]]
     shape = {"m": F.avg, "sd": F.stddev_pop, "k3": F.skewness, "k4": F.kurtosis, "lo": F.min, "hi": F.max}
-    row = wide.agg(
-        *[f(c).alias(f"{k}|{c}") for c in every for k, f in shape.items()], *[F.corr(f"a_{a}", f"b_{b}").alias(f"r|{a}|{b}") for a, b in pairs]
-    ).first()
+    # few aggregates at a time: Spark compiles no code for rows of more than a hundred numbers
+    asked = [[f(c).alias(f"{k}|{c}") for k, f in shape.items()] for c in every]
+    asked += [[F.corr(f"a_{a}", f"b_{b}").alias(f"r|{a}|{b}") for a, b in pairs[i : i + 4]] for i in range(0, len(pairs), 4)]
+    row = {}
+    for i in range(0, len(asked), 3):
+        row |= wide.agg(*[c for some in asked[i : i + 3] for c in some]).first().asDict()
+
+    long = wide.unpivot([IDX], every, "name", "z").where(F.col("z").isNotNull())
+    counts = settle(long.groupBy("name", "z").agg(F.count(F.lit(1)).alias("c")))
 
     def slot(c: str) -> Column:
         width = ((row[f"hi|{c}"] or 0.0) - (row[f"lo|{c}"] or 0.0)) / bins
         # a value on a border, to nine digits, is in the bin above
-        place = F.least(F.floor(F.round((F.col(c) - F.lit(row[f"lo|{c}"])) / F.lit(width), 9)), F.lit(bins - 1)) if width > 0 else F.lit(0)
-        return F.struct(F.lit(c).alias("c"), F.when(F.col(c).isNotNull(), place.cast("int")).alias("bin"))
+        place = F.least(F.floor(F.round((F.col("z") - F.lit(row[f"lo|{c}"])) / F.lit(width), 9)), F.lit(bins - 1)) if width > 0 else F.lit(0)
+        return F.when(F.col("name") == c, place.cast("int"))
 
     bars: dict[str, dict[int, int]] = {c: {} for c in every}
-    for r in wide.select(F.explode(F.array(*map(slot, every))).alias("x")).groupBy("x.c", "x.bin").count().where("bin IS NOT NULL").collect():
-        bars[r["c"]][r["bin"]] = r["count"]
-
-    long = wide.unpivot([IDX], every, "name", "z").where(F.col("z").isNotNull())
-    counts = settle(long.groupBy("name", "z").agg(F.count(F.lit(1)).alias("c")))
-    ranked = running_counts(counts, "name", "z", {"upto": "c"}).select("name", "z", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
-    ranks = long.join(ranked, ["name", "z"]).groupBy(IDX).pivot("name", every).agg(F.max("rank"))
+    for r in counts.groupBy("name", F.coalesce(*map(slot, every)).alias("bin")).agg(F.sum("c").alias("c")).where("bin IS NOT NULL").collect():
+        bars[r["name"]][r["bin"]] = r["c"]
+
+    # a column's ranks are a table of its own, so that few values are few rows to join and no row is turned into one for each column
+    ranked = settle(running_counts(counts, "name", "z", {"upto": "c"}).select("name", "z", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank")))
+    ranks = wide.drop(IDX)
+    for c in every:
+        own = settle(ranked.where(F.col("name") == c).select(F.col("z").alias(c), F.col("rank").alias(f"_rank_{c}")))
+        ranks = ranks.join(own, c, "left").drop(c).withColumnRenamed(f"_rank_{c}", c)
     rho = ranks.agg(*[F.corr(f"a_{a}", f"b_{b}").alias(f"r|{a}|{b}") for a, b in pairs]).first()
 
     uses = {c: [] for c in every}
