@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorloom.kernels import IDX, attach, quantiles
-from sensorloom.operators import arima, graph, neighbours, outliers, visibility
+from sensorloom.operators import arima, forecast, graph, neighbours, outliers, visibility
 
 
 @pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 150])
@@ -136,3 +136,38 @@ def test_walkable_trees_give_the_scores_of_the_trees(spark):
     for i, row in enumerate(data[list("abc")].to_numpy()):
         assert got[i] == pytest.approx(2.0 ** (-sum(length(t, row) for t in model.forest) / 7 / model.norm), rel=1e-12)
     assert all(len(outliers._walkable(t)[2]) == 2 * len(t["feature"]) for t in model.forest)
+
+
+def forest_rows(spark, n):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(n, 3)), 1)
+    return spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(y=x @ [1.0, -2.0, 0.5], z=x[:, 0] ** 2, note="n")).coalesce(1)
+
+
+def test_forest_with_remembered_nodes_is_the_same_forest(spark):
+    rows = forest_rows(spark, 400)
+    grown = [forecast.TargetTrees(list("abc"), ["y"], "random_forest", numTrees=5, **options).fit(rows).models["y"] for options in ({}, {"cacheNodeIds": False})]
+    assert grown[0].getCacheNodeIds()
+    trees = [model.toDebugString.split("\n", 1)[1] for model in grown]
+    assert trees[0] == trees[1]
+
+
+def test_forest_rows_are_dealt_evenly(spark, monkeypatch):
+    rows = forest_rows(spark, 900)
+    assert forecast.evenly(rows) is rows
+    monkeypatch.setattr(forecast, "EVEN_ROWS", 100)
+    monkeypatch.setattr(forecast, "TASK_ROWS", 40)
+    for ordered in (True, False):
+        dealt = forecast.evenly(rows, ordered)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) % spark.sparkContext.defaultParallelism == 0 and sum(sizes) == 900 and max(sizes) <= 45
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, rows.collect()))
+    seen = []
+    plain = forecast.TargetTrees._assembled
+    monkeypatch.setattr(forecast.TargetTrees, "_assembled", lambda self, df: seen.append(df.rdd.getNumPartitions()) or plain(self, df))
+    model = forecast.TargetTrees(list("abc"), ["y", "z"], "random_forest", numTrees=3, maxDepth=3).fit(rows)
+    assert seen == [len(sizes)] and set(model.models) == {"y", "z"}
+    again = forecast.TargetTrees(list("abc"), ["y", "z"], "random_forest", numTrees=3, maxDepth=3).fit(rows)
+    shown = [[m.toDebugString.split("\n", 1)[1] for m in t.models.values()] for t in (model, again)]
+    assert shown[0] == shown[1]
+    assert model.predict(rows).count() == 900
