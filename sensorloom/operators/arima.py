@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensorloom.kernels import CHUNK_ROWS, IDX, attach, carry_fill, cells_to_matrix, framed, gram_cells, names, solve_ridge
+from sensorloom.kernels import CHUNK_ROWS, IDX, attach, carry_fill, framed, gram_cells, names, solve_ridge
 from sensorloom.session import settle
 
 LONG_LAGS = 20
@@ -66,11 +67,20 @@ def extended(base: np.ndarray, levels: np.ndarray, long: np.ndarray, beta: np.nd
 
 
 def _matrices(cells: DataFrame, by: list[str]) -> DataFrame:
-    return cells.groupBy(*by).agg(F.collect_list(F.struct("i", "j", "v")).alias("_g"))
+    """One row of plain numbers, ``_g``, for each matrix: its cells in the order of their places."""
+    rows = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "j", "v"))).alias("_g"))
+    return rows.withColumn("_g", F.transform("_g", lambda c: c["v"]))
 
 
-def _matrix(cells) -> np.ndarray:
-    return cells_to_matrix(pd.DataFrame([(c["i"], c["j"], c["v"]) for c in cells], columns=["i", "j", "v"]))
+def _matrix(cells: np.ndarray) -> np.ndarray:
+    size = math.isqrt(len(cells))
+    return np.asarray(cells, float).reshape(size, size)
+
+
+def _rows(batch: pd.DataFrame) -> Iterator[dict]:
+    """The rows of a batch, one at a time."""
+    for at in range(len(batch)):
+        yield {c: batch[c].iat[at] for c in batch.columns}
 
 
 def _keys(row: dict, by: list[str], n: int) -> dict[str, pd.Series]:
@@ -85,7 +95,7 @@ def choose_orders(df: DataFrame, series, value: str, max_p: int = 5, max_d: int
     def tried(d: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for row in batch.to_dict("records"):
+                for row in _rows(batch):
                     g, out = _matrix(row["_g"]), []
                     for p in range(max_p + 1):
                         for q in range(max_q + 1):
@@ -129,7 +139,7 @@ def forecast_histories(df: DataFrame, series, value: str, ends: DataFrame, steps
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.to_dict("records"):
+            for row in _rows(batch):
                 p, q = int(row["p"]), int(row["q"])
                 long, beta, _ = two_stages(_matrix(row["_g"]), p, q, long_lags)
                 ahead = extended(np.array(row["base"], float), np.array(row["levels"], float), long, beta, p, q, steps)

@@ -90,3 +90,11 @@ def test_empty(spark, frame):
     none = frame.where("false").select("s", F.col("idx").alias("end"))
     assert arima.forecast_histories(frame, "s", "v", none, 3).collect() == []
     assert arima.choose_orders(frame.where("false"), "s", "v").collect() == []
+
+
+def test_matrices_reach_workers_as_numbers(spark):
+    """A model's Gram matrix is one list of numbers, in order of the places, not an object for each of its cells."""
+    cells = spark.createDataFrame([("a", i, j, 10.0 * i + j) for i in (2, 0, 1) for j in (1, 2, 0)], "s string, i int, j int, v double").repartition(4)
+    made = arima._matrices(cells, ["s"])
+    assert dict(made.dtypes)["_g"] == "array<double>"
+    assert arima._matrix(np.array(made.first()["_g"])).tolist() == [[0, 1, 2], [10, 11, 12], [20, 21, 22]]
