@@ -4,6 +4,7 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, queries
 from sensorloom.catalog.base import events
@@ -77,3 +78,47 @@ def test_text_package_is_optional(tmp_path):
     shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 160 and not any(k.startswith('op') and k[2].isdigit() for k in q), len(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True)
+
+
+def test_sweep_runs_every_detector(spark, monkeypatch):
+    """The named sweep fits all detectors under all adapters, and scores the rows of both truths in one pass."""
+    from sensorloom.catalog import detection
+    from sensorloom.operators import outliers, scale
+    from sensorloom.plans import flows
+
+    class Noted(outliers.Detector):
+        made, scored = [], []
+
+        def fit(self, df):
+            return self
+
+        def score(self, df, out="score"):
+            self.scored.append(df)
+            return df.withColumn(out, F.col("price"))
+
+    def noted(name, columns, key):
+        Noted.made.append(name)
+        model = Noted(columns)
+        model.threshold = 30.0
+        return model
+
+    rows = [(i, 1, 1, 1, "NRA"[i % 3], float(i), float(i), i / 7, i / 9) for i in range(60)]
+    frame = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, domain string, quantity double, price double, discount double, tax double")
+    monkeypatch.setattr(detection, "lines", lambda spark, sf: frame)
+    monkeypatch.setattr(flows, "make_detector", noted)
+    got = {(r.model, r.adapter): r for r in detection.detector_sweep(spark, "").collect()}
+    assert set(got) == {(m, a) for m in flows.MODELS for a in scale.ADAPTERS} and Noted.made == [*flows.MODELS] * len(scale.ADAPTERS)
+    assert len(Noted.scored) == len(got)
+    plain = got["lof", "none"]
+    assert (plain.tp, plain.fn, plain.tn, plain.fp) == (10, 10, 10, 10)
+
+
+def test_lof_reads_its_reference_once(spark, monkeypatch):
+    """A fitted model knows the densities of its rows: scoring searches the neighbours of the new rows only."""
+    from sensorloom.operators import neighbours, outliers
+
+    asked, real = [], neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda *args, **more: asked.append(1) or real(*args, **more))
+    df = spark.createDataFrame([(float(i * i % 17), float(i % 5)) for i in range(30)], "a double, b double")
+    model = outliers.LocalOutlierFactor(["a", "b"], k=5).fit(df)
+    assert model.score(df).count() == 30 and len(asked) == 2
